@@ -54,37 +54,44 @@ def evidence_quality(source: Column) -> Column:
     )
 
 
-def _stated(fields: Column, key: str) -> Column:
-    return F.nullif(F.element_at(fields, F.lit(key)), F.lit(""))
-
-
-def evidence_source(path: str, fields: Column) -> Column:
-    """Who reported a field: its own entry, its section's entry, else the default."""
-    section = path.split(".")[0]
-    default = F.nullif(F.col("usage_source"), F.lit("")) if section == "usage" else F.lit(None)
-    return F.coalesce(_stated(fields, path), _stated(fields, section), default, F.lit("unknown"))
+def _stated(fields: Column, key: str | Column) -> Column:
+    return F.nullif(F.try_element_at(fields, F.lit(key) if isinstance(key, str) else key), F.lit(""))
 
 
 def measurement_facts(events: DataFrame) -> DataFrame:
-    """Long form: one row per event and measured field that has a value."""
+    """Long form: one row per event and measured field that has a value.
+
+    The values are spread as one plain array; path, unit and evidence are looked up only for the
+    entries that have a value.
+    """
+    values = F.array(*[F.col(column).cast("double") for column, _ in MEASUREMENTS.values()])
+    rows = events.select(
+        "event_id", "observed_at", "received_at", "usage_source", "provenance_fields",
+        F.posexplode(values).alias("at", "value"),
+    ).where(F.col("value").isNotNull())
+
+    def looked_up(entries: list[str]) -> Column:
+        return F.get(F.array(*[F.lit(e) for e in entries]), F.col("at"))
+
+    sections = [path.split(".")[0] for path in MEASUREMENTS]
+    rows = rows.select(
+        "event_id", "observed_at", "received_at", "value", "usage_source", "provenance_fields",
+        looked_up(list(MEASUREMENTS)).alias("field_path"),
+        looked_up([unit for _, unit in MEASUREMENTS.values()]).alias("unit"),
+        looked_up(sections).alias("section"),
+    )
+    # Who reported it: the field's own entry, its section's entry, else the default.
+    usage_default = F.when(F.col("section") == "usage", F.nullif(F.col("usage_source"), F.lit("")))
     fields = F.col("provenance_fields")
-    entries = [
-        F.struct(
-            F.lit(path).alias("field_path"),
-            F.col(column).cast("double").alias("value"),
-            F.lit(unit).alias("unit"),
-            evidence_source(path, fields).alias("evidence_source"),
-        )
-        for path, (column, unit) in MEASUREMENTS.items()
-    ]
-    measured = F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
-    rows = events.select("event_id", "observed_at", "received_at", F.explode(measured).alias("m"))
-    source = F.col("m.evidence_source")
-    return rows.select(
-        "event_id", "m.field_path", "m.value", "m.unit",
-        F.concat(F.lit("evidence:"), "event_id", F.lit(":"), "m.field_path").alias("evidence_id"),
-        source.alias("evidence_source"),
-        evidence_quality(source).alias("evidence_quality"),
+    source = F.coalesce(
+        _stated(fields, F.col("field_path")), _stated(fields, F.col("section")), usage_default,
+        F.lit("unknown"),
+    )
+    return rows.withColumn("evidence_source", source).select(
+        "event_id", "field_path", "value", "unit",
+        F.concat(F.lit("evidence:"), "event_id", F.lit(":"), "field_path").alias("evidence_id"),
+        "evidence_source",
+        evidence_quality(F.col("evidence_source")).alias("evidence_quality"),
         "observed_at", "received_at",
     )
 
@@ -102,11 +109,10 @@ def outcome_events(events: DataFrame) -> DataFrame:
     )
 
 
-def relation_evidence(relation: str) -> Column:
+def relation_evidence(relation: Column) -> Column:
     fields = F.col("provenance_fields")
-    return F.coalesce(
-        _stated(fields, f"execution.{relation}"), _stated(fields, "execution"), F.lit("unknown")
-    )
+    own = F.concat(F.lit("execution."), relation)
+    return F.coalesce(_stated(fields, own), _stated(fields, "execution"), F.lit("unknown"))
 
 
 # Relation -> column that holds its target.
@@ -126,20 +132,18 @@ def hierarchy_edges(events: DataFrame) -> DataFrame:
 
     Each relation appears once per event, so (child, relation, target) is unique by construction.
     """
-    candidates = [
-        F.struct(
-            F.lit(relation).alias("relation"),
-            (F.col(column) if relation == "parent_event" else F.lit(None).cast("string"))
-            .alias("parent_event_id"),
-            F.col(column).alias("target_id"),
-            relation_evidence(relation).alias("evidence_source"),
-        )
-        for relation, column in HIERARCHY.items()
-    ]
-    present = F.filter(F.array(*candidates), lambda e: e["target_id"].isNotNull())
-    rows = events.select("event_id", "observed_at", "received_at", F.explode(present).alias("e"))
+    targets = F.array(*[F.col(column) for column in HIERARCHY.values()])
+    rows = events.select(
+        "event_id", "observed_at", "received_at", "provenance_fields",
+        F.posexplode(targets).alias("at", "target_id"),
+    ).where(F.col("target_id").isNotNull())
+    rows = rows.withColumn(
+        "relation", F.get(F.array(*[F.lit(r) for r in HIERARCHY]), F.col("at"))
+    )
     return rows.select(
         F.col("event_id").alias("child_event_id"),
-        "e.parent_event_id", "e.relation", "e.target_id", "e.evidence_source",
+        F.when(F.col("relation") == "parent_event", F.col("target_id")).alias("parent_event_id"),
+        "relation", "target_id",
+        relation_evidence(F.col("relation")).alias("evidence_source"),
         "observed_at", "received_at",
     )
