@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from . import catalog_series, catalog_tables
+from . import catalog_intake, catalog_series, catalog_tables
 from .registry import Registry
 
 
@@ -13,4 +13,5 @@ def catalog() -> Registry:
     reg = Registry()
     catalog_tables.register(reg)
     catalog_series.register(reg)
+    catalog_intake.register(reg)
     return reg
