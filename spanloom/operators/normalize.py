@@ -51,6 +51,44 @@ def parse_time(text: Column) -> Column:
     return F.when(value.rlike(_ISO), F.try_to_timestamp(plain))
 
 
+# A key in the text of a JSON type, at any depth.
+_KEY = "(?:OBJECT<|, )"
+_RESPELLED = {
+    "behavior": tuple(COUNT_LISTS.values()),
+    "reliability": tuple(k for names in RELIABILITY_ALIASES.values() for k in names),
+}
+_HOISTED = (
+    "tool_names", *COUNT_LISTS, *COUNT_LISTS.values(), *RELIABILITY_ALIASES, *_RESPELLED["reliability"],
+)
+
+
+def _suspicion(section: str) -> str:
+    """Pattern of type texts that need the exact check: no object, or a known key of another type.
+
+    It may also meet an unknown nested key of the same name; the exact check then finds nothing.
+    """
+    parts = ["^(?!OBJECT|VOID)"]
+    for group, allowed in (
+        (TEXT_FIELDS, "STRING|VOID"),
+        (NUMBER_FIELDS, "BIGINT|DECIMAL|DOUBLE|FLOAT|VOID"),
+        (FLAG_FIELDS, "BOOLEAN|VOID"),
+    ):
+        if section in group:
+            parts.append(f"{_KEY}(?:{'|'.join(group[section])}): (?!{allowed})")
+    if section == "behavior":
+        parts.append(f"{_KEY}tool_names: ")
+    if section == "provenance":
+        parts.append(f"{_KEY}fields: (?!OBJECT|VOID)")
+    return "|".join(parts)
+
+
+def _cast_type(section: str) -> str:
+    fields = [f"`{n}` string" for n in TEXT_FIELDS.get(section, ())]
+    fields += [f"`{n}` double" for n in NUMBER_FIELDS.get(section, ())]
+    fields += [f"`{n}` boolean" for n in FLAG_FIELDS.get(section, ())]
+    return f"struct<{', '.join(fields)}>"
+
+
 def known_keys(section: str) -> tuple[str, ...]:
     return (
         *TEXT_FIELDS.get(section, ()), *NUMBER_FIELDS.get(section, ()),
@@ -132,18 +170,42 @@ def normalize(
     fill = {k: V.literal(f'"{v}"') for k, v in (defaults or {}).items()}
     source_fill = {k: V.literal(f'"{v}"') for k, v in (source_defaults or {}).items()}
 
-    # Stage 1: sections and top-level values as variants.
-    sections = {s: V.at(d, s) for s in (*SECTIONS, "attributes", "extensions")}
+    # Stage 1: one cast takes the document apart into its top-level values.
+    outer = ", ".join(f"`{k}` variant" for k in TOP_KEYS)
+    stage = docs.select(*carry, d.alias("_doc"), F.try_variant_get(d, "$", f"struct<{outer}>").alias("_top"))
+    values = {k: F.col(f"_top.{k}") for k in TOP_KEYS}
+    values.update({k: F.coalesce(values[k], v) for k, v in fill.items()})
     if source_fill:
-        sections["source"] = F.when(V.is_object(sections["source"]), sections["source"])
-    top = {k: F.coalesce(V.at(d, k), fill[k]) if k in fill else V.at(d, k) for k in TOP_KEYS[:5]}
-    stage = docs.select(
-        *carry, d.alias("_doc"),
-        *[c.alias(f"_{k}") for k, c in top.items()],
-        *[c.alias(f"_s_{s}") for s, c in sections.items()],
+        values["source"] = F.when(V.is_object(values["source"]), values["source"])
+    bags = (*SECTIONS, "attributes", "extensions")
+    stage = stage.select(
+        *carry, "_doc", *[values[k].alias(f"_{k}" if k not in bags else f"_s_{k}") for k in TOP_KEYS]
     )
 
-    # Stage 2: one variant per field, other spellings resolved.
+    # Stage 2: per section, its JSON types as one text, and all its fields in one typed cast.
+    stage = stage.select(
+        "*",
+        *[V.kind(F.col(f"_s_{s}")).alias(f"_t_{s}") for s in bags],
+        *[F.try_variant_get(F.col(f"_s_{s}"), "$", _cast_type(s)).alias(f"_v_{s}") for s in SECTIONS],
+    )
+    types = {s: F.col(f"_t_{s}") for s in bags}
+
+    # Rows whose counts or flags may come under other spellings, or from the attributes.
+    respelled = types["attributes"].rlike(_KEY + f"(?:{'|'.join(_HOISTED)}): ")
+    for s in ("behavior", "reliability"):
+        respelled = F.coalesce(respelled, F.lit(False)) | F.coalesce(
+            types[s].rlike(_KEY + f"(?:{'|'.join(_RESPELLED[s])}): "), F.lit(False))
+    other_parent = types["execution"].rlike(_KEY + f"(?:{'|'.join(PARENT_AGENT_KEYS[1:])}): ")
+    suspect = respelled | F.coalesce(other_parent, F.lit(False))
+    for s in bags:
+        suspect = suspect | F.coalesce(types[s].rlike(_suspicion(s)), F.lit(False))
+    for s, names in NUMBER_FIELDS.items():
+        numbers = [F.col(f"_v_{s}.{n}") for n in names]
+        suspect = suspect | F.coalesce(F.least(*numbers) < 0, F.lit(False)) | F.coalesce(
+            F.greatest(*numbers) == float("inf"), F.lit(False))
+    stage = stage.withColumns({"_respelled": respelled, "_suspect": suspect})
+
+    # The exact per-field reading, evaluated only where a row needs it.
     def leaf(section: str, name: str) -> Column:
         return V.at(F.col(f"_s_{section}"), name)
 
@@ -164,17 +226,19 @@ def normalize(
             return _counted(both(name), both(COUNT_LISTS[name]))
         return own
 
-    leaves = {
-        (s, n): leaf_of(s, n)
-        for group in (TEXT_FIELDS, NUMBER_FIELDS, FLAG_FIELDS) for s, names in group.items() for n in names
-    }
-    stage = stage.select(
-        "*", *[c.alias(f"_f_{s}_{n}") for (s, n), c in leaves.items()],
-        F.coalesce(leaf("behavior", "tool_names"), leaf("attributes", "tool_names")).alias("_tool_names"),
-        F.coalesce(leaf("behavior", "tool_calls"), leaf("attributes", "tool_calls")).alias("_tool_calls"),
-    )
+    fields: dict[tuple[str, str], _Field] = {}
+    for build, group in ((_text, TEXT_FIELDS), (_number, NUMBER_FIELDS), (_flag, FLAG_FIELDS)):
+        for s, names in group.items():
+            for n in names:
+                extra = (TEXT_DEFAULTS.get((s, n)),) if build is _text else ()
+                fields[s, n] = build(leaf_of(s, n), f"{s}.{n}", *extra)
+    either = lambda k: F.coalesce(leaf("behavior", k), leaf("attributes", k))
+    tools = _tool_names(either("tool_names"), either("tool_calls"))
+
+    named = V.strict_text(F.col("_event_id"))
+    event_id = named
     if assign_ids:
-        named = V.strict_text(F.col("_event_id"))
+        whole = V.entries(F.col("_doc"))
         filled = {k: F.col(f"_{k}") for k in fill}
         if source_fill:
             origin = F.map_concat(
@@ -182,71 +246,74 @@ def normalize(
                 F.coalesce(V.entries(F.col("_s_source")), F.create_map().cast("map<string,variant>")),
             )
             filled["source"] = V.from_entries(origin)
-        whole = V.entries(F.col("_doc"))
         if filled:
             whole = F.map_concat(whole, F.create_map(*[x for k, v in filled.items() for x in (F.lit(k), v)]))
         identity = safe_identity(F.when(named.isNull(), F.to_json(V.from_entries(whole))))
         stage = stage.withColumn("_identity", identity)
         event_id = F.coalesce(named, hashed_id(F.col("_identity")))
-    else:
-        event_id = V.strict_text(F.col("_event_id"))
-
-    # Stage 3: types and reasons.
-    fields: dict[tuple[str, str], _Field] = {}
-    for (s, n) in leaves:
-        column, path = F.col(f"_f_{s}_{n}"), f"{s}.{n}"
-        if n in FLAG_FIELDS.get(s, ()):
-            fields[s, n] = _flag(column, path)
-        elif n in NUMBER_FIELDS.get(s, ()):
-            fields[s, n] = _number(column, path)
-        else:
-            fields[s, n] = _text(column, path, TEXT_DEFAULTS.get((s, n)))
-    tools = _tool_names(F.col("_tool_names"), F.col("_tool_calls"))
 
     observed = parse_time(V.strict_text(F.col("_observed_at")))
     received = parse_time(V.strict_text(F.col("_received_at")))
     arrival = F.current_timestamp() if received_at is None else received_at
-    checks = [F.when(~V.is_object(F.col("_doc")), "event must be an object")]
+    stage = stage.withColumns({"_observed": observed, "_received": received})
+    required = [F.when(~F.coalesce(V.is_object(F.col("_doc")), F.lit(False)), "event must be an object")]
     for name in ("schema_version", "event_type"):
-        checks.append(F.when(V.strict_text(F.col(f"_{name}")).isNull(), f"{name} is required"))
+        required.append(F.when(V.strict_text(F.col(f"_{name}")).isNull(), f"{name} is required"))
     if not assign_ids:
-        checks.append(F.when(event_id.isNull(), "event_id is required"))
-    checks += [
-        F.when(observed.isNull(), "observed_at must be ISO-8601 with a timezone"),
-        F.when(F.col("_received_at").isNotNull() & received.isNull(), "received_at must be ISO-8601 with a timezone"),
+        required.append(F.when(named.isNull(), "event_id is required"))
+    required += [
+        F.when(F.col("_observed").isNull(), "observed_at must be ISO-8601 with a timezone"),
+        F.when(F.col("_received_at").isNotNull() & F.col("_received").isNull(), "received_at must be ISO-8601 with a timezone"),
     ]
-    for s in sections:
-        t = V.kind(F.col(f"_s_{s}"))
-        checks.append(F.when(~(t.startswith("OBJECT") | (t == "VOID")), f"{s} must be an object"))
+    checks = [F.when(types[s].rlike("^(?!OBJECT|VOID)"), f"{s} must be an object") for s in bags]
     prov = V.at(F.col("_s_provenance"), "fields")
-    prov_type = V.kind(prov)
-    checks.append(F.when(~(prov_type.startswith("OBJECT") | (prov_type == "VOID")), "provenance.fields must be an object"))
+    checks.append(F.when(V.kind(prov).rlike("^(?!OBJECT|VOID)"), "provenance.fields must be an object"))
     checks += [F.when(f.bad, f.reason) for f in [*fields.values(), tools]]
+    no_reasons = F.array().cast("array<string>")
+    reasons = F.array_compact(F.concat(
+        F.array(*required), F.when(F.col("_suspect"), F.array(*checks)).otherwise(no_reasons)))
+
+    def field_value(s: str, n: str) -> Column:
+        exact, quick = fields[s, n].value, F.col(f"_v_{s}.{n}")
+        if n in TEXT_FIELDS.get(s, ()):
+            quick = V.clean(quick)
+            if s == "source" and n in source_fill:
+                quick = F.coalesce(quick, F.when(leaf(s, n).isNull(), V.as_text(source_fill[n])))
+            if (s, n) in TEXT_DEFAULTS:
+                quick = F.coalesce(quick, F.lit(TEXT_DEFAULTS[s, n]))
+        if s == "behavior" or n in RELIABILITY_ALIASES or (s, n) == ("execution", "parent_agent_id"):
+            return F.when(F.col("_suspect"), exact).otherwise(quick)
+        return quick
 
     def section_struct(s: str) -> Column:
         parts = [
-            fields[s, n].value.alias(n)
+            field_value(s, n).alias(n)
             for group in (TEXT_FIELDS, NUMBER_FIELDS, FLAG_FIELDS) for n in group.get(s, ())
         ]
         if s == "behavior":
-            parts.append(tools.value.alias("tool_names"))
+            names = types[s].rlike(_KEY + "tool_names: ") | F.col("_suspect")
+            parts.append(F.when(names, tools.value).otherwise(no_reasons).alias("tool_names"))
         if s == "provenance":
             texts = F.transform_values(V.entries(prov), lambda k, v: V.as_text(v))
             parts.append(F.coalesce(texts, F.create_map().cast("map<string,string>")).alias("fields"))
         return F.struct(*parts).alias(s)
 
-    return stage.select(
-        *carry,
+    typed = [
         V.strict_text(F.col("_schema_version")).alias("schema_version"),
         event_id.alias("event_id"),
         V.strict_text(F.col("_event_type")).alias("event_type"),
-        observed.alias("observed_at"),
-        F.coalesce(received, arrival).alias("received_at"),
+        F.col("_observed").alias("observed_at"),
+        F.coalesce(F.col("_received"), arrival).alias("received_at"),
         *[section_struct(s) for s in SECTIONS],
-        F.when(V.is_object(F.col("_s_attributes")), F.to_json(F.col("_s_attributes"))).otherwise("{}").alias("attributes"),
+        F.when(types["attributes"].startswith("OBJECT"), F.to_json(F.col("_s_attributes"))).otherwise("{}").alias("attributes"),
         _extensions().alias("extensions"),
-        F.array_compact(F.array(*checks)).alias("reasons"),
-    )
+        reasons.alias("reasons"),
+    ]
+    stage = stage.select(*carry, *typed)
+    # A generator of one row: a later filter on ``reasons`` then stays above the typing instead of
+    # being pushed below it, which would parse and check every document twice.
+    one = F.struct(*[F.col(c) for c in stage.columns if c not in carry])
+    return stage.select(*carry, F.inline(F.array(one)))
 
 
 def _extensions() -> Column:
@@ -264,16 +331,22 @@ def _extensions() -> Column:
         return F.coalesce(F.map_filter(bag, lambda k, v: ~k.isin(*known)), none)
 
     stray = extra(V.entries(F.col("_doc")), TOP_KEYS)
-    per_section = []
+    per_section, strange = [], F.lit(False)
     for s in SECTIONS:
-        found = extra(V.entries(F.col(f"_s_{s}")), known_keys(s))
+        # Only a section whose type text shows another key is looked at key by key.
+        odd = F.coalesce(
+            F.col(f"_t_{s}").rlike(f"{_KEY}(?!>|(?:{'|'.join(known_keys(s))}): )"), F.lit(False))
+        strange = strange | odd
+        found = F.when(odd, extra(V.entries(F.col(f"_s_{s}")), known_keys(s))).otherwise(none)
         prior = F.coalesce(V.entries(F.try_element_at(inside("unknown_fields"), F.lit(s))), none)
         merged = F.when(F.size(found) > 0, F.map_concat(prior, found)).otherwise(none)
         per_section.append(under(s, merged))
     fields = F.map_concat(inside("unknown_fields"), *per_section)
-    top = F.when(F.size(stray) > 0, F.map_concat(inside("unknown_top_level"), stray)).otherwise(none)
-    return F.to_json(V.from_entries(F.map_concat(
+    top = F.map_concat(inside("unknown_top_level"), stray)
+    full = F.to_json(V.from_entries(F.map_concat(
         given, under("unknown_top_level", top), under("unknown_fields", fields))))
+    own = F.when(F.col("_t_extensions").startswith("OBJECT"), F.to_json(F.col("_s_extensions"))).otherwise("{}")
+    return F.when(strange | (F.size(stray) > 0), full).otherwise(own)
 
 
 def accepted(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import intake as I
 from ..operators import normalize as N
 from ..operators import redact as R
 from ..schema import FLAG_FIELDS, NUMBER_FIELDS, SECTIONS, TEXT_FIELDS, RENAMED, flat_columns
+from ..session import stage
 from ..sources import jsonl
 from . import inputs
 from .registry import Registry
@@ -55,12 +56,13 @@ def digested(flat: DataFrame) -> DataFrame:
     """Attempts through the whole path: text, parse, normalize, redact, digest, flatten."""
     rows = jsonl.events_from_lines(lines(flat, "arrival_seq"), "arrival_seq")
     safe = R.with_digest(R.redact(N.accepted(rows)))
-    return R.flatten(safe, "arrival_seq", "payload_digest").withColumn("arrived_at", F.col("received_at"))
+    flat_rows = R.flatten(safe, "arrival_seq", "payload_digest").withColumn("arrived_at", F.col("received_at"))
+    return stage(flat_rows, "attempts")
 
 
 def register(reg: Registry) -> None:
     def ev(fn):
-        return lambda spark, d: fn(inputs.events(spark, d))
+        return lambda spark, d: fn(inputs.spread_events(spark, d))
 
     # Normalization.
     reg.add(
@@ -71,17 +73,16 @@ def register(reg: Registry) -> None:
 
     def broken(e: DataFrame) -> DataFrame:
         """Lines with a wrong type or a missing value, by what kind of event it is."""
-        wrong = {
-            "usage__input_tokens": F.when(F.col("role") == "review", F.lit("12")).otherwise(F.col("input_tokens").cast("string")),
-        }
-        docs = e.select("event_id", "role", "skill", "lane", "status", "branch", F.to_json(envelope_struct(**{
-            k: v for k, v in wrong.items() if False})).alias("line"))
+        docs = e.select("event_id", "role", "skill", "branch", "status", F.to_json(envelope_struct()).alias("line"))
         text = F.col("line")
-        text = F.when(F.col("role") == "review", F.regexp_replace(text, '"duration_ms":([0-9.]+)', '"duration_ms":"$1"')).otherwise(text)
-        text = F.when(F.col("skill") == "skill-1", F.regexp_replace(text, '"observed_at":"([^"Z]+)Z"', '"observed_at":"$1"')).otherwise(text)
-        text = F.when(F.col("skill") == "skill-2", F.regexp_replace(text, '"duration_ms":"?([0-9.]+)"?', '"duration_ms":-5')).otherwise(text)
-        text = F.when(F.col("branch") == "dev", F.regexp_replace(text, '"timeout":(true|false)', '"timeout":"$1"')).otherwise(text)
-        text = F.when(F.col("status") == "unknown", F.concat(text, F.lit("}"))).otherwise(text)
+        for test, pattern, other in (
+            (F.col("role") == "review", '"duration_ms":([0-9.]+)', '"duration_ms":"$1"'),
+            (F.col("skill") == "skill-1", '"observed_at":"([^"Z]+)Z"', '"observed_at":"$1"'),
+            (F.col("skill") == "skill-2", '"duration_ms":"?([0-9.]+)"?', '"duration_ms":-5'),
+            (F.col("branch") == "dev", '"timeout":(true|false)', '"timeout":"$1"'),
+            (F.col("status") == "unknown", "^.", "["),
+        ):
+            text = F.regexp_replace(text, F.when(test, pattern).otherwise("(?!)"), F.lit(other))
         return docs.select("event_id", text.alias("line"))
 
     reg.add(
@@ -143,7 +144,7 @@ def register(reg: Registry) -> None:
     reg.add(
         "body_documents",
         lambda spark, d: jsonl.explode_bodies(
-            lines(inputs.events(spark, d), "trace_id", "arrival_seq").select(
+            lines(inputs.spread_events(spark, d), "trace_id", "arrival_seq").select(
                 "trace_id", "arrival_seq", F.concat(F.lit("["), "line", F.lit(",5,"), "line", F.lit("]")).alias("body")),
             "trace_id", "arrival_seq",
         ).select("arrival_seq", F.col("index").cast("bigint").alias("index"), F.get_json_object(F.to_json("doc"), "$.event_id").alias("event_id")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.projections import outcome_events
+from ..session import spread
 from ..sources.derived import envelope_sql, flat_events
 
 
@@ -16,6 +17,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_events(spark, read(spark, sf_dir, "events"))
 
 
+def spread_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows, over all cores even when the table is one small file."""
+    return flat_events(spark, spread(read(spark, sf_dir, "events")))
+
+
 def attempts(events_df: DataFrame) -> DataFrame:
     """Intake attempts: every event once, views sent again unchanged, errors again with a change."""
     first = events_df.withColumn("arrival_seq", F.col("arrival_seq") * 4)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the column rules rely on. All of them can be set on a live session.
 RUNTIME_CONF = {
@@ -11,6 +14,11 @@ RUNTIME_CONF = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # The last value of a repeated JSON key wins.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Wide chains of derived text columns make the inferred-constraint sets explode at plan time.
+    "spark.sql.constraintPropagation.enabled": "false",
+    # Methods above this size are not compiled by HotSpot; wide projections then run per operator,
+    # in methods that are split and compiled.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -41,3 +49,28 @@ def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
     if not path:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     return path.rstrip("/")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than that; else the frame as it is.
+
+    Decoding JSON is CPU-bound, so one small file should not keep it on one core. Inputs of many
+    splits, the normal case on a cluster, are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """Write a frame once to the shared checkpoint folder and read it back.
+
+    For frames that are costly to make and used more than once: it cuts the lineage, survives lost
+    executors, and later reads take only the columns they need.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or root
+    if base is None:
+        base = tempfile.mkdtemp(prefix="spanloom-")  # no cluster folder named: a local run
+    path = f"{base.rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
