@@ -389,8 +389,9 @@ def _records(payloads: DataFrame, signal: str, carry: tuple[str, ...], payload:
     rows = rows.withColumn("error_kind", F.coalesce("explicit_kind", derived))
     rows = rows.withColumn("timeout", F.when(c("error_kind") == "timeout" if span else c("slow"), True))
     failing = [c("agent_failure"), c("tool_failure"), c("aborted"), c("timeout"), ~c("success"), c("code") >= 400]
-    retry_count = F.coalesce(k.loose("~retry.count"), F.greatest(k.loose("attempt") - 1, F.lit(0.0)))
-    strict = own.number if not span else own.number
+    tries = k.loose("attempt")
+    retry_count = F.coalesce(k.loose("~retry.count"), F.when(tries.isNotNull(), F.greatest(tries - 1, F.lit(0.0))))
+    strict = own.number
     values.update({f"usage.{n}": strict(*keys) for n, keys in USAGE_KEYS.items()})
     values.update({f"performance.{n}": strict(*keys) for n, keys in TIMING_KEYS.items()})
     not_number: list[Column] = []
@@ -419,7 +420,7 @@ def _records(payloads: DataFrame, signal: str, carry: tuple[str, ...], payload:
             "event_type": F.when(is_tool, "tool.operation").when(name.contains("gen_ai") | (c("provider") != "unknown"), "model.operation").otherwise("otel.span"),
             "execution.trace_id": trace, "execution.span_id": span_id,
             "execution.parent_event_id": F.when(trace.isNotNull() & ~parent.startswith("otel:"), F.concat(F.lit("otel:"), trace, F.lit(":"), parent)).otherwise(parent),
-            "performance.duration_ms": (F.greatest(end - start, F.lit(0)) / 1_000_000).cast("double"),
+            "performance.duration_ms": F.when((end - start).isNotNull(), F.greatest(end - start, F.lit(0)) / 1_000_000).cast("double"),
             "performance.latency_ms": k.loose(*LATENCY), "performance.time_to_first_token_ms": k.loose(*TTFT),
         })
         otherwise_status = F.when(bad_status, "failed").when(good_status, "succeeded").otherwise("unknown")
@@ -477,41 +478,36 @@ def _records(payloads: DataFrame, signal: str, carry: tuple[str, ...], payload:
 
 
 def events_from_metrics(payloads: DataFrame, *carry: str, payload: str = "payload", ns: str = "telemetry") -> DataFrame:
-    """One event per metric and attribute context of its first 64 points.
-
-    ``carry`` must identify a payload row. A metric holds at most 64 kept points, so grouping them
-    never builds a large group, whatever the number of rows.
-    """
+    """One event per metric and attribute context of its first 64 points."""
     rows = _exploded(payloads, "metrics", ("resourceMetrics", "scopeMetrics", "metrics"), carry, payload)
     kinds = ("gauge", "sum", "histogram", "exponentialHistogram")
     rows = rows.withColumns({
-        "metric_id": F.xxhash64(F.monotonically_increasing_id(), *carry) if not carry else F.struct(*carry, F.col("record_index"), F.xxhash64("rec")),
         "metric_type": F.coalesce(*[F.when(F.col(f"rec.{t}").isNotNull(), t) for t in kinds]),
-        "points": F.coalesce(*[F.col(f"rec.{t}.dataPoints") for t in kinds]),
+        "all_points": F.coalesce(*[F.col(f"rec.{t}.dataPoints") for t in kinds]),
     })
     number = lambda p: F.coalesce(*[F.nullif(p[n], F.lit("")) for n in ("asDouble", "asInt", "value", "sum", "count")])
-    wrong = F.coalesce(F.exists("points", lambda p: p.isNull() | p["timeUnixNano"].try_cast("decimal(20,0)").isNull()
+    wrong = F.coalesce(F.exists("all_points", lambda p: p.isNull() | p["timeUnixNano"].try_cast("decimal(20,0)").isNull()
                                 | (number(p).isNotNull() & number(p).try_cast("double").isNull())), F.lit(True))
-    wrong = wrong | (F.size("points") == 0)
-    rows = rows.withColumn("wrong", F.coalesce(wrong, F.lit(True)))
-    kept = F.when(~F.col("wrong"), F.slice("points", 1, MAX_POINTS))
+    rows = rows.withColumn("wrong", F.coalesce(wrong | (F.size("all_points") == 0), F.lit(True)))
+
+    def described(p: Column) -> Column:
+        attrs = attribute_map(p["attributes"])
+        shown = F.map_concat(safe_attributes(attrs, ns), unknown_attributes(attrs, ns))
+        return F.struct(
+            F.sha2(F.to_json(F.to_variant_object(shown)), 256).alias("context"), p["attributes"].alias("attributes"),
+            number(p).try_cast("double").alias("value"), p["timeUnixNano"].alias("time_unix_nano"),
+            p["startTimeUnixNano"].alias("start_time_unix_nano"),
+        )
+
+    kept = F.when(~F.col("wrong"), F.slice("all_points", 1, MAX_POINTS))
     rows = rows.select(
-        *carry, "resource_attrs", "schema_url", "scope", "record_index", "metric_type", "wrong",
-        F.col("rec.name").alias("name"), F.col("rec.unit").alias("unit"), F.posexplode_outer(kept).alias("at", "p"),
-    ).withColumn("attrs", attribute_map(F.col("p.attributes")))
-    shown = F.map_concat(safe_attributes(F.col("attrs"), ns), unknown_attributes(F.col("attrs"), ns))
-    rows = rows.withColumns({
-        "context": F.sha2(F.to_json(F.to_variant_object(shown)), 256),
-        "resource_json": F.to_json(F.to_variant_object(F.col("resource_attrs"))),
-        "point": F.struct("at", number(F.col("p")).try_cast("double").alias("value"),
-                          F.col("p.timeUnixNano").alias("time_unix_nano"), F.col("p.startTimeUnixNano").alias("start_time_unix_nano")),
-        "attrs_json": F.to_json(F.to_variant_object(F.col("attrs"))),
-    })
-    grouped = rows.groupBy(
-        *carry, "resource_json", "schema_url", "scope", "record_index", "metric_type", "name", "unit", "wrong", "context",
-    ).agg(F.array_sort(F.collect_list("point")).alias("points"), F.min("attrs_json").alias("attrs_json"))
-    as_map = lambda col: F.coalesce(V.entries(V.parse(F.col(col))), F.create_map().cast(_MAP))
-    grouped = grouped.withColumns({"resource_attrs": as_map("resource_json"), "attrs": as_map("attrs_json")})
+        *carry, "resource_attrs", "schema_url", "scope", "metric_type", "wrong",
+        F.col("rec.name").alias("name"), F.col("rec.unit").alias("unit"), F.transform(kept, described).alias("described"),
+    )
+    # Points of a metric are grouped inside its row (at most 64 of them): no shuffle.
+    rows = rows.withColumn("context", F.explode_outer(F.array_distinct(F.transform("described", lambda p: p["context"]))))
+    rows = rows.withColumn("points", F.filter("described", lambda p: p["context"] == F.col("context"))).drop("described")
+    grouped = rows.withColumn("attrs", attribute_map(F.element_at("points", 1)["attributes"]))
     identity = F.map_filter("attrs", lambda k, v: k.isin(*METRIC_IDENTITY_PUBLIC, *[f"{ns}.{n}" for n in METRIC_IDENTITY_PRIVATE]))
     grouped = grouped.withColumn("bag", F.map_concat("resource_attrs", identity))
     service = V.as_text(F.try_element_at("resource_attrs", F.lit("service.name")))
@@ -526,7 +522,7 @@ def events_from_metrics(payloads: DataFrame, *carry: str, payload: str = "payloa
     values.update({
         "event_id": struct_id(event_type=F.lit("telemetry.metric"), source=c("source_name"), name=metric_name, type=c("metric_type"),
                               unit=c("unit"), first=first["time_unix_nano"], last=F.element_at("points", -1)["time_unix_nano"],
-                              count=F.size("points"), context=c("context"), resource=c("resource_json")),
+                              count=F.size("points"), context=c("context"), project=values["project.project_id"], session=values["execution.session_id"], agent=values["execution.agent_id"], model=values["llm.model"]),
         "event_type": F.lit("telemetry.metric"), "observed_at": nanos_to_timestamp(first["time_unix_nano"]),
         "source.kind": F.lit("native_otel"), "source.name": c("source_name"),
         "source.version": F.coalesce(F.nullif(c("scope.version"), F.lit("")), V.as_text(F.try_element_at("resource_attrs", F.lit("service.version")))),
