@@ -89,6 +89,40 @@ def _cast_type(section: str) -> str:
     return f"struct<{', '.join(fields)}>"
 
 
+_BLANKS_SQL = r"' \t\n\r\u000c\u000b'"
+
+
+def _quick_value(section: str, name: str) -> str:
+    """SQL of a field taken from the typed cast of its section."""
+    field = f"_v_{section}.`{name}`"
+    if name not in TEXT_FIELDS.get(section, ()):
+        return field
+    text = f"nullif(btrim({field}, {_BLANKS_SQL}), '')"
+    default = TEXT_DEFAULTS.get((section, name))
+    return text if default is None else f"coalesce({text}, '{default}')"
+
+
+def _plain_checks(done: tuple[tuple[str, str], ...]) -> str:
+    """SQL array with the reason of every field of a wrong type or value, but for ``done``."""
+    parts = []
+    for group, allowed, reason in (
+        (TEXT_FIELDS, "STRING|VOID", "must be a string"),
+        (NUMBER_FIELDS, "BIGINT|DECIMAL|DOUBLE|FLOAT|VOID", "must be a non-negative number or null"),
+        (FLAG_FIELDS, "BOOLEAN|VOID", "must be boolean or null"),
+    ):
+        for section, names in group.items():
+            for name in names:
+                if (section, name) in done:
+                    continue
+                value = f"try_variant_get(_s_{section}, '$.{name}', 'variant')"
+                bad = f"schema_of_variant({value}) RLIKE '^(?!{allowed})'"
+                if group is NUMBER_FIELDS:
+                    number = f"_v_{section}.`{name}`"
+                    bad = f"({bad} OR {number} < 0 OR {number} = double('Infinity'))"
+                parts.append(f"CASE WHEN {bad} THEN '{section}.{name} {reason}' END")
+    return f"array({', '.join(parts)})"
+
+
 def known_keys(section: str) -> tuple[str, ...]:
     return (
         *TEXT_FIELDS.get(section, ()), *NUMBER_FIELDS.get(section, ()),
@@ -226,12 +260,20 @@ def normalize(
             return _counted(both(name), both(COUNT_LISTS[name]))
         return own
 
+    # Fields with one spelling are checked by one SQL text, the others one by one.
+    special = [("execution", "parent_agent_id"), *[("reliability", n) for n in RELIABILITY_ALIASES]]
+    special += [("behavior", n) for n in NUMBER_FIELDS["behavior"]]
+    if source_fill:
+        special += [("source", n) for n in source_defaults]
     fields: dict[tuple[str, str], _Field] = {}
-    for build, group in ((_text, TEXT_FIELDS), (_number, NUMBER_FIELDS), (_flag, FLAG_FIELDS)):
-        for s, names in group.items():
-            for n in names:
-                extra = (TEXT_DEFAULTS.get((s, n)),) if build is _text else ()
-                fields[s, n] = build(leaf_of(s, n), f"{s}.{n}", *extra)
+    for s, n in special:
+        path = f"{s}.{n}"
+        if n in TEXT_FIELDS.get(s, ()):
+            fields[s, n] = _text(leaf_of(s, n), path, TEXT_DEFAULTS.get((s, n)))
+        elif n in FLAG_FIELDS.get(s, ()):
+            fields[s, n] = _flag(leaf_of(s, n), path)
+        else:
+            fields[s, n] = _number(leaf_of(s, n), path)
     either = lambda k: F.coalesce(leaf("behavior", k), leaf("attributes", k))
     tools = _tool_names(either("tool_names"), either("tool_calls"))
 
@@ -269,20 +311,17 @@ def normalize(
     prov = V.at(F.col("_s_provenance"), "fields")
     checks.append(F.when(V.kind(prov).rlike("^(?!OBJECT|VOID)"), "provenance.fields must be an object"))
     checks += [F.when(f.bad, f.reason) for f in [*fields.values(), tools]]
+    plain_checks = F.expr(_plain_checks(tuple(fields)))
     no_reasons = F.array().cast("array<string>")
     reasons = F.array_compact(F.concat(
-        F.array(*required), F.when(F.col("_suspect"), F.array(*checks)).otherwise(no_reasons)))
+        F.array(*required), F.when(F.col("_suspect"), F.concat(F.array(*checks), plain_checks)).otherwise(no_reasons)))
 
     def field_value(s: str, n: str) -> Column:
-        exact, quick = fields[s, n].value, F.col(f"_v_{s}.{n}")
-        if n in TEXT_FIELDS.get(s, ()):
-            quick = V.clean(quick)
-            if s == "source" and n in source_fill:
-                quick = F.coalesce(quick, F.when(leaf(s, n).isNull(), V.as_text(source_fill[n])))
-            if (s, n) in TEXT_DEFAULTS:
-                quick = F.coalesce(quick, F.lit(TEXT_DEFAULTS[s, n]))
-        if s == "behavior" or n in RELIABILITY_ALIASES or (s, n) == ("execution", "parent_agent_id"):
-            return F.when(F.col("_suspect"), exact).otherwise(quick)
+        if s == "source" and n in source_fill:
+            return fields[s, n].value
+        quick = F.expr(_quick_value(s, n))
+        if (s, n) in fields:
+            return F.when(F.col("_suspect"), fields[s, n].value).otherwise(quick)
         return quick
 
     def section_struct(s: str) -> Column:

@@ -83,9 +83,9 @@ def register(reg: Registry) -> None:
           UNION ALL SELECT concat('events_by_usage_source_total{{source="', usage_source, '"}} ', COUNT(*)) FROM ev WHERE event_type = 'model.operation' GROUP BY usage_source
           UNION ALL SELECT concat('events_by_client_route_total{{project="', project_id, '",client="', client, '",route="', route, '",auth_mode="', auth_mode, '"}} ', COUNT(*))
             FROM ev GROUP BY project_id, client, route, auth_mode
-          UNION ALL SELECT concat('outcomes_by_kind_status_total{{kind="', kind, '",status="', status, '",evidence_source="', o.evidence_source, '",project="', project_id,
+          UNION ALL SELECT concat('outcomes_by_kind_status_total{{kind="', kind, '",status="', o.status, '",evidence_source="', o.evidence_source, '",project="', project_id,
             '",repository="', COALESCE(repository, 'unknown'), '",branch="', COALESCE(branch, 'unknown'), '",correlation_basis="', COALESCE(o.correlation_basis, 'uncorrelated'), '"}} ', COUNT(*))
-            FROM outcome_rows o JOIN ev USING (event_id) GROUP BY kind, status, o.evidence_source, project_id, repository, branch, o.correlation_basis""",
+            FROM outcome_rows o JOIN ev USING (event_id) GROUP BY kind, o.status, o.evidence_source, project_id, repository, branch, o.correlation_basis""",
     )
     reg.add(
         "table_counts",
