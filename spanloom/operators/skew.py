@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # A key is hot when it holds more than this share of the rows, so at most 1/HOT_SHARE keys are.
 HOT_SHARE = 0.001
+MIN_HOT_ROWS = 10_000  # fewer rows than this fit any task
 SALTS = 64
 
 
 def hot_keys(counts: DataFrame, key: str, rows: str = "n") -> DataFrame:
     """Keys above HOT_SHARE of all rows, from a frame of (key, rows); at most 1/HOT_SHARE of them."""
     total = counts.agg(F.sum(rows).alias("total")).scalar()
-    return counts.where(F.col(rows) > F.greatest(total * F.lit(HOT_SHARE), F.lit(10_000))).select(key)
+    return counts.where(F.col(rows) > F.greatest(total * F.lit(HOT_SHARE), F.lit(MIN_HOT_ROWS))).select(key)
 
 
 def salted_lookup(many: DataFrame, unique: DataFrame, key: str, hot: DataFrame, spread: Column) -> DataFrame:
