@@ -9,6 +9,7 @@ from ..operators import correlate as C
 from ..operators import intake as I
 from ..operators import normalize as N
 from ..operators import redact as R
+from ..operators.projections import HIERARCHY
 from ..schema import FLAG_FIELDS, NUMBER_FIELDS, SECTIONS, TEXT_FIELDS, RENAMED, flat_columns
 from ..session import stage
 from ..sources import jsonl
@@ -60,6 +61,41 @@ def digested(flat: DataFrame) -> DataFrame:
     return stage(flat_rows, "attempts")
 
 
+# Check SQL of correlation: every pair, then every edge.
+PAIRS = """
+      stored AS (SELECT *, (outcome_kind IS NOT NULL OR outcome_status IS NOT NULL) AS is_outcome,
+        (outcome_kind IS NOT NULL OR outcome_status IS NOT NULL OR correlation_id IS NOT NULL OR correlation_basis IS NOT NULL) AS is_row
+        FROM ev),
+      vals AS (SELECT event_id, arrival_seq, UNNEST([
+        {'b': 'task_id', 'v': task_id}, {'b': 'session_id', 'v': session_id}, {'b': 'workflow_id', 'v': workflow_id},
+        {'b': 'agent_id', 'v': agent_id}, {'b': 'subagent_id', 'v': subagent_id}, {'b': 'trace_id', 'v': trace_id},
+        {'b': 'worktree', 'v': worktree}, {'b': 'event_id', 'v': event_id}]) AS bv FROM stored),
+      claims AS (SELECT o.event_id, o.arrival_seq, COALESCE(correlation_basis, 'task_id') AS b,
+        CASE WHEN correlation_basis IS NULL THEN task_id ELSE COALESCE(correlation_id, CASE WHEN correlation_basis <> 'event_id' THEN v.bv.v END) END AS v
+        FROM stored o LEFT JOIN vals v ON v.event_id = o.event_id AND v.bv.b = o.correlation_basis WHERE is_outcome),
+      pairs AS (
+        SELECT c.event_id AS later_id, v.event_id AS earlier_id FROM claims c JOIN vals v ON v.bv.b = c.b AND v.bv.v = c.v
+        WHERE v.arrival_seq < c.arrival_seq
+        UNION
+        SELECT e.event_id, y.event_id FROM stored e JOIN stored y ON y.task_id = e.task_id
+        WHERE NOT e.is_outcome AND y.is_row AND y.arrival_seq < e.arrival_seq
+        UNION
+        SELECT e.event_id, y.event_id FROM stored e JOIN vals v ON v.event_id = e.event_id
+          JOIN stored y ON y.correlation_basis = v.bv.b AND y.correlation_id = v.bv.v
+        WHERE NOT e.is_outcome AND y.is_row AND y.arrival_seq < e.arrival_seq)"""
+EDGES = " UNION ALL ".join(
+    f"SELECT event_id AS child_event_id, {'parent_event_id' if r == 'parent_event' else 'NULL'} AS parent_event_id, "
+    f"'{r}' AS relation, {c} AS target_id, "
+    + ("COALESCE(pv_session, pv_execution, 'unknown')" if r == "session" else "COALESCE(pv_execution, 'unknown')")
+    + f" AS evidence_source, observed_at, received_at FROM ev WHERE {c} IS NOT NULL"
+    for r, c in HIERARCHY.items()
+)
+CORRELATED = """SELECT later_id AS child_event_id, earlier_id AS parent_event_id, 'outcome_correlation' AS relation, earlier_id AS target_id,
+    COALESCE(pv_execution, 'unknown') AS evidence_source, observed_at, received_at FROM pairs JOIN ev ON event_id = later_id
+    UNION ALL SELECT earlier_id, later_id, 'outcome_correlation', later_id, COALESCE(pv_execution, 'unknown'), observed_at, received_at
+    FROM pairs JOIN ev ON event_id = later_id"""
+
+
 def register(reg: Registry) -> None:
     def ev(fn):
         return lambda spark, d: fn(inputs.spread_events(spark, d))
@@ -201,52 +237,19 @@ def register(reg: Registry) -> None:
     )
 
     # Correlation.
-    pairs = """
-      stored AS (SELECT *, (outcome_kind IS NOT NULL OR outcome_status IS NOT NULL) AS is_outcome,
-        (outcome_kind IS NOT NULL OR outcome_status IS NOT NULL OR correlation_id IS NOT NULL OR correlation_basis IS NOT NULL) AS is_row
-        FROM ev),
-      vals AS (SELECT event_id, arrival_seq, UNNEST([
-        {'b': 'task_id', 'v': task_id}, {'b': 'session_id', 'v': session_id}, {'b': 'workflow_id', 'v': workflow_id},
-        {'b': 'agent_id', 'v': agent_id}, {'b': 'subagent_id', 'v': subagent_id}, {'b': 'trace_id', 'v': trace_id},
-        {'b': 'worktree', 'v': worktree}, {'b': 'event_id', 'v': event_id}]) AS bv FROM stored),
-      claims AS (SELECT o.event_id, o.arrival_seq, COALESCE(correlation_basis, 'task_id') AS b,
-        CASE WHEN correlation_basis IS NULL THEN task_id ELSE COALESCE(correlation_id, CASE WHEN correlation_basis <> 'event_id' THEN v.bv.v END) END AS v
-        FROM stored o LEFT JOIN vals v ON v.event_id = o.event_id AND v.bv.b = o.correlation_basis WHERE is_outcome),
-      pairs AS (
-        SELECT c.event_id AS later_id, v.event_id AS earlier_id FROM claims c JOIN vals v ON v.bv.b = c.b AND v.bv.v = c.v
-        WHERE v.arrival_seq < c.arrival_seq
-        UNION
-        SELECT e.event_id, y.event_id FROM stored e JOIN stored y ON y.task_id = e.task_id
-        WHERE NOT e.is_outcome AND y.is_row AND y.arrival_seq < e.arrival_seq
-        UNION
-        SELECT e.event_id, y.event_id FROM stored e JOIN vals v ON v.event_id = e.event_id
-          JOIN stored y ON y.correlation_basis = v.bv.b AND y.correlation_id = v.bv.v
-        WHERE NOT e.is_outcome AND y.is_row AND y.arrival_seq < e.arrival_seq)"""
     reg.add(
         "correlation_degrees", ev(C.correlation_degrees),
-        f"""{W}, {pairs} SELECT event_id, CAST(SUM(e) AS BIGINT) AS earlier_partners, CAST(SUM(l) AS BIGINT) AS later_partners FROM (
+        f"""{W}, {PAIRS} SELECT event_id, CAST(SUM(e) AS BIGINT) AS earlier_partners, CAST(SUM(l) AS BIGINT) AS later_partners FROM (
           SELECT later_id AS event_id, 1 AS e, 0 AS l FROM pairs UNION ALL SELECT earlier_id, 0, 1 FROM pairs) GROUP BY event_id""",
     )
-    from ..operators.projections import HIERARCHY
-    edges = " UNION ALL ".join(
-        f"SELECT event_id AS child_event_id, {'parent_event_id' if r == 'parent_event' else 'NULL'} AS parent_event_id, "
-        f"'{r}' AS relation, {c} AS target_id, "
-        + ("COALESCE(pv_session, pv_execution, 'unknown')" if r == "session" else "COALESCE(pv_execution, 'unknown')")
-        + f" AS evidence_source, observed_at, received_at FROM ev WHERE {c} IS NOT NULL"
-        for r, c in HIERARCHY.items()
-    )
-    corr = """SELECT later_id AS child_event_id, earlier_id AS parent_event_id, 'outcome_correlation' AS relation, earlier_id AS target_id,
-        COALESCE(pv_execution, 'unknown') AS evidence_source, observed_at, received_at FROM pairs JOIN ev ON event_id = later_id
-        UNION ALL SELECT earlier_id, later_id, 'outcome_correlation', later_id, COALESCE(pv_execution, 'unknown'), observed_at, received_at
-        FROM pairs JOIN ev ON event_id = later_id"""
     reg.add(
         "edge_counts", ev(C.edge_counts),
-        f"{W}, {pairs} SELECT relation, COUNT(*) AS edges FROM ({edges} UNION ALL {corr}) GROUP BY relation",
+        f"{W}, {PAIRS} SELECT relation, COUNT(*) AS edges FROM ({EDGES} UNION ALL {CORRELATED}) GROUP BY relation",
     )
     ids = ["evt-16", "evt-400", "evt-777"]
     listed = ", ".join(f"'{i}'" for i in ids)
     reg.add(
         "edge_listing", ev(lambda e: C.edge_listing(e, ids, 5000)),
-        f"""{W}, {pairs} SELECT * FROM ({edges} UNION ALL {corr}) WHERE child_event_id IN ({listed}) OR parent_event_id IN ({listed})
+        f"""{W}, {PAIRS} SELECT * FROM ({EDGES} UNION ALL {CORRELATED}) WHERE child_event_id IN ({listed}) OR parent_event_id IN ({listed})
           ORDER BY observed_at, child_event_id, relation, target_id LIMIT 5000""",
     )

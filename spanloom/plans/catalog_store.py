@@ -15,7 +15,7 @@ from ..operators import tables as TB
 from ..sources import jsonl
 from ..streaming import intake as ST
 from . import inputs
-from .catalog_intake import lines
+from .catalog_intake import CORRELATED, EDGES, PAIRS, lines
 from .registry import Registry
 
 W = inputs.WITH
@@ -98,6 +98,11 @@ def register(reg: Registry) -> None:
             "events": e, "ledger": e.select("event_id", "arrival_seq", F.lit("inserted").alias("decision")),
             "facts": P.measurement_facts(e), "outcomes": P.outcome_events(e),
             "edges": C.edge_listing(e, ["evt-16"], 1000)}, "evt-16").groupBy("part").agg(F.count("*").alias("rows"))),
+        f"""{W}, {PAIRS}, one AS (SELECT * FROM ev WHERE event_id = 'evt-16'), parts AS (
+            SELECT 'event' AS part, COUNT(*) AS rows FROM one UNION ALL SELECT 'ledger', COUNT(*) FROM one
+            UNION ALL SELECT 'measurements', {facts} FROM one UNION ALL SELECT 'outcomes', COUNT(outcome_kind) FROM one
+            UNION ALL SELECT 'attribution', COUNT(*) FROM ({EDGES} UNION ALL {CORRELATED}) WHERE child_event_id = 'evt-16' OR parent_event_id = 'evt-16')
+          SELECT part, rows FROM parts WHERE rows > 0""",
     )
     reg.add(
         "tumbling_counts",
