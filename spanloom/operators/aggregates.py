@@ -23,11 +23,8 @@ def _filled(column: str) -> Column:
     return F.coalesce(F.sum(column), F.lit(0.0))
 
 
-# Measure name -> aggregate. Sums and averages stay NULL without any value; counters are 0-filled.
-MEASURES: dict[str, Column] = {}
-
-
 def _measures() -> dict[str, Column]:
+    """Measure name -> aggregate. Sums and averages stay NULL without a value; counters are 0-filled."""
     out: dict[str, Column] = {
         "count": F.count("*"),
         "successes": _count_where(F.col("status").isin(*SUCCESS)),
@@ -60,9 +57,8 @@ def _measures() -> dict[str, Column]:
 
 
 def measures(*names: str) -> list[Column]:
-    if not MEASURES:
-        MEASURES.update(_measures())
-    return [MEASURES[name].alias(name) for name in names]
+    known = _measures()
+    return [known[name].alias(name) for name in names]
 
 
 SUMMARY_MEASURES = (

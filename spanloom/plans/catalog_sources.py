@@ -172,9 +172,11 @@ def register(reg: Registry) -> None:
     keys = ("prompt", "my.promptText", "API-Key", "x.accessToken", "userEmail", "file_path", "cwd", "lane", "model", "request_body", "private_note", "tests")
     classes = ("content", "content", "secret", "secret", "secret", "ordinary", "path", "ordinary", "ordinary", "content", "secret", "content")
     markers = {"content": "'[CONTENT_REDACTED]'", "secret": "'[REDACTED]'", "path": "'[PATH_REDACTED]'", "ordinary": "lane"}
-    pairs = F.create_map(*[x for k in keys for x in (F.lit(k), F.col("lane"))])
+    def pairs() -> Column:
+        return F.create_map(*[x for k in keys for x in (F.lit(k), F.col("lane"))])
+
     reg.add(
         "masked_maps",
-        ev(lambda e: e.select("arrival_seq", F.explode(P.mask_map(pairs)).alias("name", "value"))),
+        ev(lambda e: e.select("arrival_seq", F.explode(P.mask_map(pairs())).alias("name", "value"))),
         f"{W} " + " UNION ALL ".join(f"SELECT arrival_seq, '{k}' AS name, {markers[c]} AS value FROM ev" for k, c in zip(keys, classes)),
     )

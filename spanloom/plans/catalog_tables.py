@@ -132,11 +132,13 @@ def register(reg: Registry) -> None:
         "outcome_status": "passed", "project_id": "repo:3", "commit_sha": "sha4",
         "parent_agent_id": "agent-0",
     }
-    counts = [
-        F.count(F.when(F.col(FL.ALIASES.get(k, k)) == v, True)).alias(f"n_{k}") for k, v in probes.items()
-    ]
+    def counts():
+        return [
+            F.count(F.when(F.col(FL.ALIASES.get(k, k)) == v, True)).alias(f"n_{k}") for k, v in probes.items()
+        ]
+
     reg.add(
-        "filter_counts", _ev(lambda e: e.agg(*counts)),
+        "filter_counts", _ev(lambda e: e.agg(*counts())),
         f"{W} SELECT " + ", ".join(
             f"COUNT(CASE WHEN {FL.ALIASES.get(k, k)} = '{v}' THEN 1 END) AS n_{k}" for k, v in probes.items()
         ) + " FROM ev",

@@ -123,3 +123,12 @@ def test_every_query_has_a_check(spark):
 
     assert set(E.queries()) == set(E.oracle_sql())
     assert E.entry(spark).count() > 0
+
+
+def test_registry_needs_no_session():
+    """The contract functions run before any session exists."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as E; assert len(E.queries()) == len(E.oracle_sql()) > 200"
+    assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/tests/", 1)[0]).returncode == 0
