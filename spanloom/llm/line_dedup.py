@@ -127,7 +127,7 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
         for batch in batches:
             maps, n = [], []
             for pos in batch.column(2).to_pylist():
-                bits = np.ones(max(pos) + 1, bool)
+                bits = np.ones((max(pos) // 8 + 1) * 8, bool)  # whole bytes: lines beyond the last one dropped stay
                 bits[pos] = False
                 maps.append(zlib.compress(np.packbits(bits).tobytes(), 1))
                 n.append(len(pos))

@@ -22,7 +22,7 @@ from . import common as c
 BUCKETS = 1 << 18
 PSEUDO = 1.0  # pseudo-count of each bucket, shared by both multinomials
 QUANTILE = 0.005
-MARGIN = 0.05
+MARGIN = 0.2
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 

@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentence scores, joined by noisy-or, trained from document labels.
 
 A sentence is a run of text up to ``.``, ``!``, ``?`` or a line feed. Its features are hashed words (runs of ASCII
-letters and bytes above 127, A-Z lower-cased) and pairs of words inside the sentence. Document counts of every
+letters and bytes above 127, A-Z lower-cased), their first ``PREFIXES`` bytes and pairs of words inside the sentence. Document counts of every
 hashed feature by label are taken over all labelled training rows; the ``FEATURES`` most telling ones are used. A sentence's
 probability is logistic in its features; a document is toxic if any sentence is, so its probability
 is 1 - prod(1 - p). Weights are fitted by gradient steps on the document log-likelihood over at most
@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 from . import common as c
 
 SPACE_SIZE = 1 << 20  # hashed features
-FEATURES = 4096
-LEAST = 3  # training documents of label 1 that a feature needs
+FEATURES = 1024
+LEAST = 4  # training documents of label 1 that a feature needs
+DEVIATIONS = 2.5  # standard errors by which a feature's log odds exceed 0
+PREFIXES = (5, 7, 9)
 SAMPLE = 50_000  # training rows in the fit
 STEPS = 400
 RATE = 0.1
@@ -46,11 +48,14 @@ class Sentences:
         number = ends[t.starts]  # sentence of each word; documents end with a line feed
         two = np.flatnonzero(number[1:] == number[:-1]) if len(number) > 1 else np.zeros(0, np.int64)
         pairs = c.combine(t.hashes[two], t.hashes[two + 1])
-        self.feature = (np.concatenate((c.mix(t.hashes), pairs)) % np.uint64(SPACE_SIZE)).astype(np.int64)
-        self.sentence = np.concatenate((number, number[two]))
+        heads = [np.flatnonzero(t.ends - t.starts > k) for k in PREFIXES]
+        begun = [c.mix(c.span_hash(t.data, t.starts[h], t.starts[h] + k) + np.uint64(k)) for h, k in zip(heads, PREFIXES)]
+        where = np.concatenate((np.arange(len(number)), two, *heads))
+        self.feature = (np.concatenate((c.mix(t.hashes), pairs, *begun)) % np.uint64(SPACE_SIZE)).astype(np.int64)
+        self.sentence = number[where]
         self.first = ends[t.doc_start]  # first sentence of each document
         self.count = ends[t.doc_end] - self.first + 1  # an empty rest counts: one sentence at least
-        self.doc = np.concatenate((t.doc, t.doc[two]))
+        self.doc = t.doc[where]
         self.at = np.flatnonzero(_ENDS[t.data])
 
 
@@ -97,7 +102,7 @@ def telling_features(train: DataFrame) -> tuple[np.ndarray, float, float]:
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     best = sums.where((F.col("feature") >= 0) & (F.col("toxic") >= LEAST)).select("feature", (odds / error).alias("z"), odds.alias("odds")).where(
-        "z > 1").orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
+        F.col("z") > DEVIATIONS).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
     c.drop_staged(sums)
     return np.sort(np.array([r["feature"] for r in best], np.int64)), clean, toxic
 
