@@ -114,7 +114,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     open_ = streamed.where("not settled")
     per_key = open_.groupBy("h1", "h2", "doc_id").agg(F.lit(1)).groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).where(F.col("n") >= MIN_DOCS)
-    late = open_.join(per_key, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("top")))
+    # Written first: Spark can then split a hot key's rows in the join.
+    late = open_.join(c.staged(per_key, "open-keys"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("top")))
     cols = ["doc_id", "text_hash", "pos"]
     return streamed.where("settled").select(cols).unionAll(late.select(cols))
 

@@ -211,7 +211,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 def _blocks(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members of ordinary blocks (equal blocks once) and of large ones: block, cls."""
     heads = classes.select("cls", F.explode("head").alias("h"))
-    shared = heads.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # Written first: Spark can then split a hot shingle's rows in the join below.
+    shared = c.staged(heads.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
     rows = c.staged(heads.join(shared, "h"), "block-rows")
     small = rows.where(F.col("m") <= BLOCK).groupBy("h").agg(F.sort_array(F.collect_list("cls")).alias("all"))  # BLOCK values at most
     small = small.groupBy("all").agg(F.min("h").alias("block")).select("block", F.explode("all").alias("cls"))
@@ -238,7 +239,7 @@ def _components_of_rows(docs: DataFrame) -> DataFrame:
     # Second round: pairs of different components only.
     named = c.staged(point.join(known, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "named")
     of = named.select("cls", "component")
-    mixed = small.join(of, "cls")
+    mixed = small.join(of, "cls")  # blocks hold BLOCK classes at most
     some = mixed.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("block")
     rest = small.join(some, "block", "left_semi").withColumn("part", F.lit(0)).join(named, "cls")
     second = _tree_pairs(rest.unionByName(_parts(large, of).join(named, "cls")), False)
