@@ -30,7 +30,7 @@ from .components import components
 
 WORDS = 4
 PERCENT = 85
-GROUPS = 32
+GROUPS = 256
 BLOCK = 256
 LEAF = 16
 SAMPLE = 4096  # texts whose shingles decide which are common
@@ -64,6 +64,19 @@ def _class(s: np.ndarray) -> int:
     return int(c.combine(*sums[:, None]).view(np.int64)[0])
 
 
+def _point(s: np.ndarray) -> bytes:
+    """Counts of a set by group: one byte each if they fit, else four."""
+    counts = np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    return counts.astype("<u4" if counts.max() > 255 else "u1").tobytes()
+
+
+def _matrix(points: list[bytes]) -> np.ndarray:
+    """Points of a block as rows, in the narrowest kind that holds them all."""
+    if all(len(x) == GROUPS for x in points):
+        return np.frombuffer(b"".join(points), "u1").reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(x, "u1" if len(x) == GROUPS else "<u4").astype("<u4") for x in points])
+
+
 def common_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles in a large share of a bounded sample of texts."""
 
@@ -88,7 +101,7 @@ def _points(docs: DataFrame, common: np.ndarray) -> DataFrame:
             counts, heads = [], []
             for s in sets:
                 n = len(s)
-                counts.append(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+                counts.append(_point(s))
                 take = n - (PERCENT * n + 99) // 100 + 1 if n else 0
                 if len(common):
                     late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
@@ -117,7 +130,7 @@ class RTree:
         children: tuple = ()
         if len(rows) > LEAF:
             sub = self.points[rows]
-            spread = np.append(sub.max(0) - sub.min(0), np.ptp(self.sizes[rows]) / 4)
+            spread = np.append((sub.max(0) - sub.min(0)).astype(float), np.ptp(self.sizes[rows]) / 4)
             d = int(np.argmax(spread))
             key = self.sizes[rows] if d == sub.shape[1] else sub[:, d]
             rows = rows[np.argsort(key, kind="stable")]
@@ -137,12 +150,12 @@ class RTree:
             up_y, lo_y, hi_y, kids_y = self.nodes[y]
             if 100 * hi_x < PERCENT * lo_y or 100 * hi_y < PERCENT * lo_x:
                 continue
-            if x != y and (100 + PERCENT) * int(np.minimum(up_x, up_y).sum()) < PERCENT * (lo_x + lo_y):
+            if x != y and (100 + PERCENT) * int(np.minimum(up_x, up_y).sum(dtype=np.int64)) < PERCENT * (lo_x + lo_y):
                 continue
             leaf_x, leaf_y = len(kids_x) == 1, len(kids_y) == 1
             if leaf_x and leaf_y:
                 i, j = kids_x[0], kids_y[0]
-                bound = np.minimum(self.points[i][:, None], self.points[j][None]).sum(2)
+                bound = np.minimum(self.points[i][:, None], self.points[j][None]).sum(2, dtype=np.int64)
                 need = PERCENT * (self.sizes[i][:, None] + self.sizes[j][None])
                 ok = (100 + PERCENT) * bound >= need
                 if x == y:
@@ -170,7 +183,7 @@ def _search(batches, best_only: bool):
             continue
         cls, sizes = t.column("cls").to_numpy(), t.column("n").to_numpy()
         cls, one = np.unique(cls, return_index=True)
-        points = np.frombuffer(b"".join(t.column("counts").take(pa.array(one)).to_pylist()), "<u4").reshape(len(one), -1).astype(np.int64)
+        points = _matrix(t.column("counts").take(pa.array(one)).to_pylist())
         i, j, likely = RTree(points, sizes[one]).join()
         a, b = np.minimum(i, j), np.maximum(i, j)
         if best_only:
@@ -205,7 +218,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 
     side = lambda k: texts.select(F.col("cls").alias(k), F.col("text").alias(f"text_{k}"))
     texts = c.staged(texts, "texts")
-    return c.staged(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "links")
+    links = c.staged(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), "links")
+    c.drop_staged(texts)
+    return links
 
 
 def _blocks(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
