@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from . import common as c
@@ -37,3 +38,22 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
     stars = edges.unionAll(edges.select(F.col("v").alias("u"), "v"))
     return stars.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links."""
+    root: dict[int, int] = {}
+    keep = []
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep.append(i)
+    return a[keep], b[keep]

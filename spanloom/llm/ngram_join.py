@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import common as c
-from .components import components
+from .components import components, forest
 
 WORDS = 4
 PERCENT = 85
@@ -178,9 +178,12 @@ _PAIR = "a long, b long, likely double"
 
 def _search(batches, best_only: bool):
     """Joins each block with itself: all pairs of different components, or each class's best earlier partner."""
-    for t in c.by_key(batches, ["block", "part"]):
+    lead, told = None, set()
+    for t in c.by_key(batches, ["lead", "part", "block"]):
         if t.num_rows < 2:
             continue
+        if lead != (now := (t.column("lead")[0].as_py(), t.column("part")[0].as_py())):
+            lead, told = now, set()  # pairs that other blocks with the same smallest class have given
         cls, sizes = t.column("cls").to_numpy(), t.column("n").to_numpy()
         cls, one = np.unique(cls, return_index=True)
         points = _matrix(t.column("counts").take(pa.array(one)).to_pylist())
@@ -193,28 +196,36 @@ def _search(batches, best_only: bool):
         else:
             component = t.column("component").to_numpy()[one]
             pick = np.flatnonzero(component[a] != component[b])
+        if not best_only:
+            ends = list(zip(cls[a[pick]].tolist(), cls[b[pick]].tolist()))
+            pick = pick[[x not in told for x in ends]] if ends else pick
+            told.update(ends)
         if len(pick):
             yield pa.RecordBatch.from_arrays([pa.array(cls[a[pick]]), pa.array(cls[b[pick]]), pa.array(likely[pick])], names=["a", "b", "likely"])
 
 
 def _tree_pairs(members: DataFrame, best_only: bool) -> DataFrame:
-    return members.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(
+    return members.repartition("lead", "part").sortWithinPartitions("lead", "part", "block").mapInArrow(
         lambda batches: _search(batches, best_only), _PAIR)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose texts satisfy the threshold exactly."""
+    """A spanning forest, for each task, of the pairs whose texts satisfy the threshold exactly."""
     needed = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
     where = classes.join(needed, "cls", "left_semi").select("cls", "at", F.lit(True).alias("_needed"))
     texts = c.joined_flags(docs.select(F.xxhash64("text").alias("at"), "text"), where, "at").where("_needed").dropDuplicates(["cls"]).select("cls", "text")
 
     def run(batches):
+        links = []
         for batch in c.chunks(batches, "text_a", c.CHUNK // 2):
             x, y = _sets(c.as_bytes(batch.column("text_a"))), _sets(c.as_bytes(batch.column("text_b")))
             shared = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)], np.int64)
             total = np.array([len(p) + len(q) for p, q in zip(x, y)], np.int64)
             ok = pa.array(100 * shared >= PERCENT * (total - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+            links.append((batch.column("a").filter(ok).to_numpy(), batch.column("b").filter(ok).to_numpy()))
+        if links:
+            a, b = forest(*(np.concatenate(x) for x in zip(*links)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     side = lambda k: texts.select(F.col("cls").alias(k), F.col("text").alias(f"text_{k}"))
     texts = c.staged(texts, "texts")
@@ -224,13 +235,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 
 
 def _blocks(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of ordinary blocks (equal blocks once) and of large ones: block, cls."""
+    """Members of ordinary blocks (equal blocks once) and of large ones: block, its smallest class, cls."""
     heads = classes.select("cls", F.explode("head").alias("h"))
     # Written first: Spark can then split a hot shingle's rows in the join below.
     shared = c.staged(heads.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared")
     rows = c.staged(heads.join(shared, "h"), "block-rows")
     small = rows.where(F.col("m") <= BLOCK).groupBy("h").agg(F.sort_array(F.collect_list("cls")).alias("all"))  # BLOCK values at most
-    small = small.groupBy("all").agg(F.min("h").alias("block")).select("block", F.explode("all").alias("cls"))
+    small = small.groupBy("all").agg(F.min("h").alias("block")).select(
+        "block", F.element_at("all", 1).alias("lead"), F.explode("all").alias("cls"))
     large = rows.where(F.col("m") > BLOCK).select(F.col("h").alias("block"), "cls", "m")
     return c.staged(small, "blocks"), large
 
@@ -246,8 +258,9 @@ def _components_of_rows(docs: DataFrame) -> DataFrame:
     point = classes.select("cls", "n", "counts")
     whole = small.withColumn("part", F.lit(0)).join(point, "cls")
     best = _tree_pairs(whole, True)
-    lead = large.groupBy("block").agg(F.min("cls").alias("a")).join(large, "block").where("a < cls").select(
-        "a", F.col("cls").alias("b"), F.lit(1.0).alias("likely")).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("likely"))
+    large = c.staged(large.join(c.staged(large.groupBy("block").agg(F.min("cls").alias("lead")), "leads"), "block"), "large-blocks")
+    lead = large.where("lead < cls").select(
+        F.col("lead").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("likely")).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("likely"))
     first = c.staged(best.unionAll(lead).groupBy("b").agg(F.max_by("a", F.struct("likely", "a")).alias("a")).select("a", "b"), "pairs")
     links = _verified(first, classes, docs)
     known = components(links).withColumnRenamed("id", "cls")
@@ -259,9 +272,12 @@ def _components_of_rows(docs: DataFrame) -> DataFrame:
     rest = small.join(some, "block", "left_semi").withColumn("part", F.lit(0)).join(named, "cls")
     second = _tree_pairs(rest.unionByName(_parts(large, of).join(named, "cls")), False)
     second = c.staged(second.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    final = of
     if not second.isEmpty():
-        links = links.unionAll(_verified(second, classes, docs))
-    final = components(links).withColumnRenamed("id", "cls")
+        end = lambda k: of.select(F.col("cls").alias(k), F.col("component").alias(f"of_{k}"))
+        across = _verified(second, classes, docs).join(end("a"), "a").join(end("b"), "b").select("of_a", "of_b")
+        merged = components(across, "of_a", "of_b").select(F.col("id").alias("component"), F.col("component").alias("_to"))
+        final = of.join(merged, "component", "left").select("cls", F.coalesce("_to", "component").alias("component"))
     low = final.join(classes.select("cls", "rep"), "cls").groupBy("component").agg(F.min("rep").alias("low"))
     final = final.join(low, "component").select("cls", "low")
     ids = classes.select("cls", "rep").join(final, "cls", "left").select("cls", F.coalesce("low", "rep").alias("component_id"))
@@ -296,7 +312,7 @@ def _parts(large: DataFrame, of: DataFrame) -> DataFrame:
     rows = rows.join(most, "block").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
     part = F.when(F.col("component") == F.col("most"), F.array(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))).otherwise(
         F.sequence(F.lit(0), F.col("parts") - 1))
-    return rows.select("block", "cls", F.explode(part).alias("part"))
+    return rows.select("block", "lead", "cls", F.explode(part).alias("part"))
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -376,7 +376,8 @@ def covered(docs: DataFrame) -> DataFrame:
     copies = c.staged(texts.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
                                                F.max(F.octet_length("text")).alias("size")), "copies")
     rows = c.staged(_anchor_rows(texts), "anchors")
-    shared = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    # Small sides are written first: Spark can then split the rows of a hot passage in the joins.
+    shared = c.staged(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "shared")
     left = c.staged(rows.join(shared, "fp").select("key", "fp", "pos", "lo", "hi"), "shared-anchors")
     c.drop_staged(rows)
     count = left.count()
@@ -400,12 +401,12 @@ def covered(docs: DataFrame) -> DataFrame:
     found = members.join(merged, ["run", "idx"]).drop("run", "idx")
     settled = c.staged(found.repartition("key").sortWithinPartitions("key", "pos").mapInArrow(_settle, "key long, fp long, a long, b long"), "settled")
     c.drop_staged(runs)
-    asks = settled.where("fp is not null").groupBy("fp").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    asks = c.staged(settled.where("fp is not null").groupBy("fp").agg(F.min("a").alias("a"), F.max("b").alias("b")), "asks")
     wanted = left.join(asks, "fp").select("key", "pos", F.greatest("a", "lo").alias("a"), F.least("b", "hi").alias("b")).where("a <= b")
     wanted = wanted.groupBy("key").agg(F.collect_set(F.struct("pos", "a", "b")).alias("asks")).join(copies.select("key", "rep"), "key")
     wanted = c.staged(wanted, "wanted")
     strings = c.staged(with_text(wanted, 160).select("key", "text", "asks").mapInArrow(_strings, "string long, key long, at int"), "strings")
-    twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string")
+    twice = c.staged(strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string"), "twice")
     late = strings.join(twice, "string").select("key", F.col("at").cast("long").alias("a"), (F.col("at") + LENGTH).cast("long").alias("b"))
     whole = copies.where("copies > 1").select("key", F.lit(0).cast("long").alias("a"), F.col("size").cast("long").alias("b"))
     spans = settled.where("fp is null").select("key", "a", "b").unionAll(late).unionAll(whole)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import common as c
-from .components import components
+from .components import components, forest
 
 COSINE = 0.93
 TABLES = 24
@@ -85,25 +85,6 @@ def _hashed(classes: DataFrame, dim: int) -> DataFrame:
     return classes.mapInArrow(run, "label long, tab int, bucket long, cls long, n long, unit array<double>, keys array<long>")
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links."""
-    root: dict[int, int] = {}
-    keep = []
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep.append(i)
-    return a[keep], b[keep]
-
-
 def _compare(least: float):
     """Compares the rows of each block pair: partner counts and a spanning forest of its links."""
 
@@ -123,8 +104,8 @@ def _compare(least: float):
                 new = ~(keys[x][:, :tab] == keys[y][:, :tab]).any(axis=1)
                 x, y = x[new], y[new]
             partners += np.bincount(x, n[y], len(cls)).astype(np.int64) + np.bincount(y, n[x], len(cls)).astype(np.int64)
-            links.append(_forest(cls[x], cls[y]))
-        a, b = _forest(np.concatenate([x for x, _ in links]), np.concatenate([x for _, x in links]))
+            links.append(forest(cls[x], cls[y]))
+        a, b = forest(np.concatenate([x for x, _ in links]), np.concatenate([x for _, x in links]))
         some = partners > 0
         return cls[some], partners[some], a, b
 
