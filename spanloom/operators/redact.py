@@ -28,8 +28,8 @@ def _masked(section: str, name: str, policy: P.Policy) -> Column:
 def redact(events: DataFrame, policy: P.Policy = P.Policy(), bags: bool = True) -> DataFrame:
     """Mask every text of the envelope. ``bags`` says whether the open maps may hold anything."""
     columns: dict[str, Column] = {
-        name: P.mask_text(F.col(name), policy) for name in ("schema_version", "event_id", "event_type")
-    }
+        name: P.mask_text(F.col(name), policy) for name in ("schema_version", "event_type")
+    } | {"event_id": P.safe_id(F.col("event_id"))}
     for section in SECTIONS:
         parts = [_masked(section, n, policy).alias(n) for n in TEXT_FIELDS.get(section, ())]
         parts += [F.col(f"{section}.{n}").alias(n) for n in NUMBER_FIELDS.get(section, ())]

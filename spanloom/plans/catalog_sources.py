@@ -132,7 +132,7 @@ def register(reg: Registry) -> None:
             "arrival_seq", "event_id", "execution.role", "execution.lane", "execution.skill", "project.project_id", "project.remote", "attributes")),
         f"""{W} SELECT arrival_seq, event_id, CASE WHEN status = 'failed' THEN '[REDACTED]' ELSE role END AS role,
           CASE WHEN client = 'cli-a' THEN '[PATH_REDACTED]' ELSE lane END AS lane,
-          CASE WHEN skill IS NOT NULL THEN concat(substr(repeat(skill, 100), 1, 512), '…') END AS skill,
+          CASE WHEN skill IS NOT NULL THEN repeat(skill, 100) END AS skill,
           CASE WHEN auth_mode = 'api' THEN concat('project_sha256:', sha256(lower(concat('C:/Repos/', project_id)))) ELSE project_id END AS project_id,
           concat('https://host.example/', project_id) AS remote,
           concat('{{"inner":{{"password":"[REDACTED]","places":["', lane, '","[PATH_REDACTED]"]}},"note":"[REDACTED]"',
@@ -142,7 +142,7 @@ def register(reg: Registry) -> None:
         "OR regexp_matches(text, '(?i)\\bAIza[A-Za-z0-9_-]{16,}') OR regexp_matches(text, '\\b(?:AKIA|ASIA)[0-9A-Z]{16}\\b') OR " \
         "regexp_matches(text, '(?i)(?:api[_-]?key|access[_-]?key(?:[_-]?id)?|secret[_-]?access[_-]?key|subscription[_-]?key|token|password)\\s*[=:]\\s*[A-Za-z0-9._~+/=-]{8,}')"
     masked_sql = f"CASE WHEN {secret_sql} THEN '[REDACTED]' WHEN regexp_matches(replace(trim(text, ' '), '\\', '/'), '^(?:[A-Za-z]:/|/|~/)') THEN '[PATH_REDACTED]' " \
-        "WHEN length(text) > 512 THEN concat(substr(text, 1, 512), '…') ELSE text END"
+        "ELSE text END"
     reg.add(
         "masked_documents",
         lambda spark, d: inputs.read(spark, d, "documents").select("doc_id", P.mask_text(F.col("text")).alias("text")),

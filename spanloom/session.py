@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,26 @@ RUNTIME_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to Python workers, once for each application; they may run in any folder of any machine."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spanloom-")) / "spanloom.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(target))
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings above to an existing session."""
+    """Apply the settings above to an existing session, and ship the package to its workers."""
+    ship(spark)
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -61,6 +81,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, so that any folder is shared."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     """Write a frame once to the shared checkpoint folder and read it back.
 
@@ -70,7 +96,9 @@ def stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or root
     if base is None:
-        base = tempfile.mkdtemp(prefix="spanloom-")  # no cluster folder named: a local run
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        base = tempfile.mkdtemp(prefix="spanloom-")
     path = f"{base.rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
