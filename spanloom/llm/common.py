@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..session import is_local, ship
+
 CHUNK = 2 << 20  # text bytes that one numpy pass works on
 LONG_SPAN = 1 << 16  # longer spans are hashed one by one
 
@@ -23,20 +25,24 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 # ---- session and staged tables
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Arrow batches of bounded size, so that a batch of long texts still fits a Python worker."""
+    """Arrow batches of bounded size, so that a batch of long texts still fits a Python worker; workers get the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 
+_OWN: dict[str, str] = {}  # folder of each local application that names none
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. A local session without one gets its own; a cluster must name it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="run-")
+        _OWN[spark.sparkContext.applicationId] = root
     return root.rstrip("/")
 
 
