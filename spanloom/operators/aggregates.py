@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .filters import apply_filters, bounded_limit
+from .filters import apply_filters, first_rows
 
 # Statuses counted as success and as failure.
 SUCCESS = ("ok", "success", "succeeded")
@@ -183,11 +183,10 @@ DIMENSIONS: dict[str, tuple[dict[str, str], tuple[str, ...], bool, bool]] = {
 
 
 def dimension(
-    events: DataFrame, name: str, limit: int = 100, filters: dict[str, str] | None = None,
+    events: DataFrame, name: str, limit: int | None = None, filters: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Top ``limit`` groups of one breakdown, by count and then by every key."""
+    """Groups of one breakdown; with a limit the top ones, by count and then by every key."""
     keys, extra, model_only, relabel = DIMENSIONS[name]
-    bounded_limit(limit, 500)
     rows = apply_filters(events, filters)
     if model_only:
         rows = rows.where(F.col("event_type") == "model.operation")
@@ -207,7 +206,7 @@ LABEL_ORDER = {
 
 def _top_groups(
     groups: DataFrame, keys: dict[str, str], extra: tuple[str, ...], first: tuple[str, ...],
-    limit: int, relabel: bool,
+    limit: int | None, relabel: bool,
 ) -> DataFrame:
     """Largest groups; ties by label in order, then by raw key so that the order is total."""
     def shown(label: str) -> Column:
@@ -219,13 +218,12 @@ def _top_groups(
     ranking = [F.desc("count"), *[shown(label).asc_nulls_first() for label in labels]]
     if relabel:
         ranking += [F.asc_nulls_first(f"key_{label}") for label in labels]
-    top = groups.orderBy(*ranking).limit(limit)
+    top = first_rows(groups, limit, *ranking)
     return top.select(*[shown(label).alias(label) for label in keys], "count", *extra)
 
 
-def outcome_dimension(outcomes: DataFrame, events: DataFrame, limit: int = 100) -> DataFrame:
-    """Top outcome groups joined to the place their event happened in."""
-    bounded_limit(limit, 500)
+def outcome_dimension(outcomes: DataFrame, events: DataFrame, limit: int | None = None) -> DataFrame:
+    """Outcome groups (the top ones with a limit) joined to the place their event happened in."""
     joined = outcomes.select(
         "event_id", "kind", "status", "correlation_basis", "evidence_source"
     ).join(events.select("event_id", "project_id", "repository", "branch"), "event_id")
@@ -257,18 +255,14 @@ COMPARISON_MEASURES = (
 
 
 def comparison(
-    events: DataFrame, filters: dict[str, str] | None = None, limit: int = 100,
+    events: DataFrame, filters: dict[str, str] | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """Like-for-like provider/model/client rows, most events first."""
-    bounded_limit(limit, 500)
+    """Like-for-like provider/model/client rows; with a limit those of most events."""
     groups = apply_filters(events, filters).groupBy(*COMPARISON_KEYS).agg(
         *measures("count", *COMPARISON_MEASURES)
     )
-    return (
-        groups.withColumnRenamed("count", "events")
-        .orderBy(F.desc("events"), *[F.asc_nulls_first(k) for k in COMPARISON_ORDER])
-        .limit(limit)
-    )
+    ranking = [F.desc("events"), *[F.asc_nulls_first(k) for k in COMPARISON_ORDER]]
+    return first_rows(groups.withColumnRenamed("count", "events"), limit, *ranking)
 
 
 def table_counts(ledger: DataFrame, facts: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .filters import bounded_limit
+from .filters import first_rows
 from .projections import hierarchy_edges, relation_evidence
 from .skew import earlier_counts, hot_keys, salted_lookup
 
@@ -144,18 +144,37 @@ def correlation_degrees(events: DataFrame, order: tuple[str, ...] = ("arrival_se
     )
 
 
-def correlated_pairs(events: DataFrame, event_ids: list[str], order: tuple[str, ...] = ("arrival_seq",)) -> DataFrame:
-    """(later_id, earlier_id) pairs that involve a requested event, each once."""
-    bounded_limit(len(event_ids), 1000)
+# An id list up to this size goes along with the plan, and its key rows (about 30 an id, as ids are unique) are broadcast.
+# Longer lists and frames are joined, with the same result.
+INLINE_IDS = 1000
+
+
+def _short(event_ids: list[str] | DataFrame) -> bool:
+    return not isinstance(event_ids, DataFrame) and len(event_ids) <= INLINE_IDS
+
+
+def _with_ids(df: DataFrame, column: str, event_ids: list[str] | DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose ``column`` is (left_semi) or is not (left_anti) a requested id."""
+    if _short(event_ids):
+        test = F.coalesce(F.col(column).isin(*event_ids), F.lit(False))
+        return df.where(test if how == "left_semi" else ~test)
+    if not isinstance(event_ids, DataFrame):
+        event_ids = df.sparkSession.createDataFrame([(i,) for i in event_ids], "event_id string")
+    return df.join(event_ids.select(F.col("event_id").alias(column)).distinct(), column, how).select(df.columns)
+
+
+def correlated_pairs(
+    events: DataFrame, event_ids: list[str] | DataFrame, order: tuple[str, ...] = ("arrival_seq",),
+) -> DataFrame:
+    """(later_id, earlier_id) pairs that involve a requested event, each once. Event ids are unique in ``events``."""
     keys = correlation_keys(events, *order)
     position = F.struct(*order)
-    # At most ~30 key rows per requested id: a broadcast of known size.
-    asked = F.broadcast(
-        keys.where(F.col("event_id").isin(*event_ids)).where(F.col("rule") != "both").select(
-            "rule", "key", F.col("side").alias("asked_side"), F.col("event_id").alias("asked_id"),
-            position.alias("asked_at"),
-        )
+    asked = _with_ids(keys, "event_id", event_ids).where(F.col("rule") != "both").select(
+        "rule", "key", F.col("side").alias("asked_side"), F.col("event_id").alias("asked_id"),
+        position.alias("asked_at"),
     )
+    if _short(event_ids):
+        asked = F.broadcast(asked)
     met = keys.join(asked, ["rule", "key"]).where(F.col("side") != F.col("asked_side"))
     here, there = position, F.col("asked_at")
     ordered = met.where(F.when(F.col("side") == "seeks", here > there).otherwise(here < there))
@@ -167,12 +186,13 @@ def correlated_pairs(events: DataFrame, event_ids: list[str], order: tuple[str,
 
 
 def edge_listing(
-    events: DataFrame, event_ids: list[str], limit: int = 1000, order: tuple[str, ...] = ("arrival_seq",),
+    events: DataFrame, event_ids: list[str] | DataFrame, limit: int | None = None,
+    order: tuple[str, ...] = ("arrival_seq",),
 ) -> DataFrame:
-    """Attribution edges with a requested event as child or parent, by observed time."""
-    bounded_limit(limit, 5000)
-    asked = lambda c: F.col(c).isin(*event_ids)
-    places = hierarchy_edges(events).where(asked("child_event_id") | asked("parent_event_id"))
+    """Attribution edges with a requested event as child or parent; with a limit the first by observed time."""
+    edges = hierarchy_edges(events)
+    places = _with_ids(edges, "child_event_id", event_ids).unionByName(
+        _with_ids(_with_ids(edges, "child_event_id", event_ids, "left_anti"), "parent_event_id", event_ids))
     pairs = correlated_pairs(events, event_ids, order)
     later = events.select(
         F.col("event_id").alias("later_id"), "observed_at", "received_at",
@@ -190,7 +210,7 @@ def edge_listing(
         F.lit("outcome_correlation").alias("relation"), F.col("e.parent").alias("target_id"),
         F.col("e.ev").alias("evidence_source"), "observed_at", "received_at",
     )
-    return places.unionByName(both).orderBy("observed_at", "child_event_id", "relation", "target_id").limit(limit)
+    return first_rows(places.unionByName(both), limit, "observed_at", "child_event_id", "relation", "target_id")
 
 
 def edge_counts(events: DataFrame, order: tuple[str, ...] = ("arrival_seq",)) -> DataFrame:

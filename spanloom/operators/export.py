@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import aggregates as A
 from .redact import canonical_payload
 
-MAX_LABEL = 128  # fixed value: longest label text
-
 
 def canonical_lines(events: DataFrame) -> DataFrame:
     """Envelope rows as canonical JSON text, one per line (``write.text`` ready)."""
@@ -16,7 +14,7 @@ def canonical_lines(events: DataFrame) -> DataFrame:
 
 
 def _label(value: Column) -> Column:
-    text = F.substring(F.coalesce(value, F.lit("unknown")), 1, MAX_LABEL)
+    text = F.coalesce(value, F.lit("unknown"))
     for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
         text = F.replace(text, F.lit(raw), F.lit(escaped))
     return text
@@ -71,8 +69,8 @@ _CONTEXT = {
 }
 
 
-def metric_lines(events: DataFrame, outcomes: DataFrame, conflicts: DataFrame, limit: int = 500) -> DataFrame:
-    """All data metrics as ``name{label="v"} value`` lines; breakdowns keep their top ``limit`` groups."""
+def metric_lines(events: DataFrame, outcomes: DataFrame, conflicts: DataFrame, limit: int | None = None) -> DataFrame:
+    """All data metrics as ``name{label="v"} value`` lines; with a limit breakdowns keep their top groups."""
     pick = lambda table: {name: F.col(column) for name, column in table.items()}
     parts = [
         _lines(A.summary(events), [], pick(_SUMMARY)),

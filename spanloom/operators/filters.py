@@ -25,13 +25,20 @@ FILTER_COLUMNS = (
 )
 
 
-def bounded_limit(limit: int, maximum: int) -> int:
-    """``limit`` when it is an integer in 1..maximum, else ValueError."""
-    if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= maximum:
-        raise ValueError(f"limit must be an integer between 1 and {maximum}")
+def bounded_limit(limit: int | None, maximum: int | None = None) -> int | None:
+    """``limit`` when it is None or a positive integer, up to ``maximum`` if given; else ValueError."""
+    if limit is None:
+        return None
+    if isinstance(limit, bool) or not isinstance(limit, int) or limit < 1 or (maximum is not None and limit > maximum):
+        raise ValueError("limit must be a positive integer" + ("" if maximum is None else f" up to {maximum}"))
     return limit
 
 
+def first_rows(df: DataFrame, limit: int | None, *order: Column | str) -> DataFrame:
+    """The first ``limit`` rows in order; with None all of them, unsorted, as a sort of everything is the caller's choice."""
+    return df if bounded_limit(limit) is None else df.orderBy(*order).limit(limit)
+
+
 def in_range(
     df: DataFrame, start: datetime | str | None = None, end: datetime | str | None = None,
 ) -> DataFrame:
@@ -63,13 +70,9 @@ def apply_filters(df: DataFrame, filters: dict[str, str] | None = None) -> DataF
     return df.where(reduce(and_, tests)) if tests else df
 
 
-def list_events(df: DataFrame, filters: dict[str, str] | None = None, limit: int = 100) -> DataFrame:
-    """First ``limit`` matching events by (observed_at, event_id)."""
-    return (
-        apply_filters(df, filters)
-        .orderBy("observed_at", "event_id")
-        .limit(bounded_limit(limit, 1000))
-    )
+def list_events(df: DataFrame, filters: dict[str, str] | None = None, limit: int | None = None) -> DataFrame:
+    """Matching events; with a limit the first of them by (observed_at, event_id)."""
+    return first_rows(apply_filters(df, filters), limit, "observed_at", "event_id")
 
 
 def point_lookup(df: DataFrame, event_id: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .filters import bounded_limit
+from .filters import first_rows
 from .skew import hot_keys, salted_lookup
 
 CONFLICT_REASON = "event_id replay has a different payload"
@@ -89,11 +89,11 @@ def conflict_count(conflict_rows: DataFrame, event_id: str | None = None) -> Dat
     return rows.agg(F.count("*").alias("conflicts"))
 
 
-def ledger_listing(ledger_rows: DataFrame, event_id: str | None = None, limit: int = 100,
+def ledger_listing(ledger_rows: DataFrame, event_id: str | None = None, limit: int | None = None,
                    order: tuple[str, ...] = ("ledger_id",)) -> DataFrame:
-    """Newest attempts first."""
+    """Attempts; with a limit the newest ones."""
     rows = ledger_rows if event_id is None else ledger_rows.where(F.col("event_id") == event_id)
-    return rows.orderBy(*[F.desc(c) for c in order]).limit(bounded_limit(limit, 1000))
+    return first_rows(rows, limit, *[F.desc(c) for c in order])
 
 
 def backfill_ledger(events: DataFrame, ledger_rows: DataFrame) -> DataFrame:

@@ -28,7 +28,6 @@ COUNT_LISTS = {
     "tests_invoked_count": "tests_invoked",
 }
 PARENT_AGENT_KEYS = ("parent_agent_id", "parentAgentId", "parent_agent")
-MAX_TOOL_NAMES = 64
 TOP_KEYS = (
     "schema_version", "event_id", "event_type", "observed_at", "received_at", *SECTIONS,
     "attributes", "extensions",
@@ -177,7 +176,7 @@ def _tool_names(names: Column, calls: Column) -> _Field:
     t = V.kind(raw)
     listed = t.startswith("ARRAY")
     entries = F.transform(
-        F.slice(V.items(raw), 1, MAX_TOOL_NAMES),
+        V.items(raw),
         lambda e: V.strict_text(F.when(V.is_object(e), V.at(e, "name")).otherwise(e)),
     )
     bad = ~listed & ~V.is_number(t) | (listed & F.exists(entries, lambda e: e.isNull()))

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .filters import first_rows, point_lookup
+
 # Measured field path -> (flat column, unit).
 MEASUREMENTS: dict[str, tuple[str, str]] = {
     "usage.input_tokens": ("input_tokens", "tokens"),
@@ -109,6 +111,18 @@ def outcome_events(events: DataFrame) -> DataFrame:
     )
 
 
+def fact_listing(facts: DataFrame, event_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Facts of all events or of one; with a limit the first by time, id and path."""
+    rows = facts if event_id is None else point_lookup(facts, event_id)
+    return first_rows(rows, limit, "observed_at", "event_id", "field_path")
+
+
+def outcome_listing(outcomes: DataFrame, event_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Outcomes of all events or of one; with a limit the first by time and id."""
+    rows = outcomes if event_id is None else point_lookup(outcomes, event_id)
+    return first_rows(rows, limit, "observed_at", "event_id")
+
+
 def relation_evidence(relation: Column) -> Column:
     fields = F.col("provenance_fields")
     own = F.concat(F.lit("execution."), relation)

@@ -14,7 +14,7 @@ from ..functions.times import parse_instant
 CLASS_RETENTION = {"metrics": timedelta(days=30), "traces": timedelta(hours=720), "logs": timedelta(hours=336)}
 # Tables that follow their event by event_id.
 FOLLOWERS = ("measurement_facts", "outcome_events", "ingest_ledger", "event_conflicts", "correlation_keys", "events")
-# An id list up to this size is sent along with the plan; longer ones come as a frame.
+# An id list up to this size is sent along with the plan; longer ones become a frame, with the same result.
 MAX_INLINE_IDS = 10_000
 DETAIL = "explicit operator retention/deletion"
 
@@ -35,8 +35,9 @@ def purge_selection(
     elif event_ids:
         ids = [i.strip() for i in event_ids if isinstance(i, str) and i.strip()]
         if len(ids) > MAX_INLINE_IDS:
-            raise ValueError(f"pass more than {MAX_INLINE_IDS} ids as a DataFrame")
-        if ids:
+            listed = events.sparkSession.createDataFrame([(i,) for i in set(ids)], "event_id string")
+            parts.append(events.join(listed, "event_id", "left_semi").select("event_id"))
+        elif ids:
             parts.append(events.where(F.col("event_id").isin(*ids)).select("event_id"))
     if not parts:
         raise ValueError("purge requires before or at least one event id")

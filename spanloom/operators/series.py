@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.times import parse_instant, parse_step
 from .aggregates import SUCCESS
 from .families import FAMILIES, LABEL_NAMES, Family
-from .filters import in_range
+from .filters import first_rows, in_range
 
 MAX_POINTS = 10_000
 MAX_LOOKBACK_US = 366 * 24 * 3600 * 1_000_000
@@ -75,10 +75,10 @@ def range_grid(
     return Grid(lo, width, points)
 
 
-def instant_grid(at: datetime | str | float | None = None) -> Grid:
-    """The one sample of an instant query, with a 366-day lookback."""
+def instant_grid(at: datetime | str | float | None = None, lookback_us: int | None = None) -> Grid:
+    """The one sample of an instant query; it covers all events up to then, or those of the last ``lookback_us``."""
     t = int(time.time() * 1_000_000) if at is None else parse_instant(at)
-    lookback = min(t, MAX_LOOKBACK_US)
+    lookback = t if lookback_us is None else min(t, lookback_us)
     return Grid(t, max(lookback, 1_000_000), 1, lookback_us=lookback)
 
 
@@ -487,8 +487,9 @@ def scalar_query(spark: SparkSession, text: str, at) -> DataFrame:
 
 def label_values(
     label: str, tables: dict[str, DataFrame], start, end, families: list[str] | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Distinct values of a label in the range, sorted, at most 1000."""
+    """Distinct values of a label in the range; with a limit the first in order."""
     if label not in LABEL_NAMES or label == "__name__":
         raise SeriesError(f"unsupported label: {label}")
     grid = range_grid(start, end, max((parse_instant(end) - parse_instant(start)) / 1e6, 1.0))
@@ -511,7 +512,7 @@ def label_values(
         found = values if found is None else found.unionByName(values)
     if found is None:
         raise SeriesError(f"no family exposes label {label}")
-    return found.distinct().orderBy("value").limit(1000)
+    return first_rows(found.distinct(), limit, "value")
 
 
 def series_list(

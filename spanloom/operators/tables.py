@@ -87,19 +87,18 @@ def ingest(
 
 
 def event_detail(tables: dict[str, DataFrame], event_id: str) -> DataFrame:
-    """Everything stored about one event as rows (part, position, body): bounded like its listings."""
-    def part(name: str, df: DataFrame, order: list, limit: int) -> DataFrame:
-        rows = df.orderBy(*order).limit(limit)
-        return rows.select(F.lit(name).alias("part"), F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])).alias("body"))
+    """Everything stored about one event as rows (part, body)."""
+    def part(name: str, df: DataFrame) -> DataFrame:
+        return df.select(F.lit(name).alias("part"), F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])).alias("body"))
 
     mine = lambda name: tables[name].where(F.col("event_id") == event_id)
     edges = tables["edges"]
     parts = [
-        part("event", mine("events"), ["event_id"], 1),
-        part("ledger", mine("ledger"), [F.desc("arrival_seq")], 100),
-        part("measurements", mine("facts"), ["field_path"], 1000),
-        part("outcomes", mine("outcomes"), ["event_id"], 1000),
-        part("attribution", edges, ["observed_at", "relation", "target_id"], 1000),
+        part("event", mine("events")),
+        part("ledger", mine("ledger")),
+        part("measurements", mine("facts")),
+        part("outcomes", mine("outcomes")),
+        part("attribution", edges),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -225,9 +225,9 @@ def register(reg: Registry) -> None:
             f"{W} SELECT COUNT(*) AS conflicts FROM ev WHERE status = 'failed'")
     reg.add(
         "ledger_listing",
-        ev(lambda e: I.ledger_listing(I.ledger(classified(e), "arrival_seq"), limit=1000, order=("arrival_seq",))
+        ev(lambda e: I.ledger_listing(I.ledger(classified(e), "arrival_seq"), order=("arrival_seq",))
            .select("event_id", "arrival_seq", "decision")),
-        f"{WA} {decisions_sql} ORDER BY arrival_seq DESC LIMIT 1000",
+        f"{WA} {decisions_sql}",
     )
     reg.add(
         "ledger_backfill",
@@ -249,7 +249,6 @@ def register(reg: Registry) -> None:
     ids = ["evt-16", "evt-400", "evt-777"]
     listed = ", ".join(f"'{i}'" for i in ids)
     reg.add(
-        "edge_listing", ev(lambda e: C.edge_listing(e, ids, 5000)),
-        f"""{W}, {PAIRS} SELECT * FROM ({EDGES} UNION ALL {CORRELATED}) WHERE child_event_id IN ({listed}) OR parent_event_id IN ({listed})
-          ORDER BY observed_at, child_event_id, relation, target_id LIMIT 5000""",
+        "edge_listing", ev(lambda e: C.edge_listing(e, ids)),
+        f"""{W}, {PAIRS} SELECT * FROM ({EDGES} UNION ALL {CORRELATED}) WHERE child_event_id IN ({listed}) OR parent_event_id IN ({listed})""",
     )

@@ -169,6 +169,43 @@ def register(reg: Registry) -> None:
         f"{W} SELECT arrival_seq, 'malformed metric' AS reason FROM ev WHERE status = 'failed'",
     )
 
+    # Bad elements at every level leave their siblings alone and say where they stood.
+    def spoiled(rows: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+        text = F.col("payload")
+        for name, bad in zip(names, ("null,", '"x",', '7,["y"],')):
+            text = F.replace(text, F.lit(f'"{name}":['), F.lit(f'"{name}":[{bad}'))
+        return rows.withColumn("payload", text)
+
+    signals = {
+        "trace": (otlp.events_from_spans, span_payloads, ("resourceSpans", "scopeSpans", "spans"), "traces",
+                  "CASE WHEN NOT (COALESCE(branch, '') = 'dev' OR lane = 'primary') THEN 'timestamp must be an integer number of nanoseconds' END"),
+        "log": (otlp.events_from_logs, log_payloads, ("resourceLogs", "scopeLogs", "logRecords"), "logs", "NULL"),
+        "metric": (otlp.events_from_metrics, metric_payloads, ("resourceMetrics", "scopeMetrics", "metrics"), "metrics",
+                   "CASE WHEN status = 'failed' THEN 'malformed metric' END"),
+    }
+    for signal, (decode, make, names, plural, own) in signals.items():
+        outer, middle, inner = names
+        places = (f"{outer}[0]", f"{outer}[1].{middle}[0]", f"{outer}[1].{middle}[1].{inner}[0]", f"{outer}[1].{middle}[1].{inner}[1]")
+        bad = ", ".join(f"'malformed {plural} record: {p} must be an object'" for p in places)
+        copies = "CASE WHEN status <> 'failed' AND agent_id <> 'agent-0' THEN 2 ELSE 1 END" if signal == "metric" else "1"
+        reg.add(
+            f"otlp_{signal}_siblings",
+            ev(lambda e, d=decode, m=make, n=names: d(spoiled(m(e), n), "arrival_seq", ns=NS).select(
+                "arrival_seq", F.get("reasons", F.lit(0)).alias("reason"), F.col("event_id").startswith("malformed:").alias("part"))),
+            f"""{W} SELECT arrival_seq, {own} AS reason, FALSE AS part FROM ev, range({copies}) UNION ALL
+              SELECT arrival_seq, unnest([{bad}]) AS reason, TRUE AS part FROM ev""",
+        )
+    deep = ('{"key":"custom.deep","value":{"arrayValue":{"values":[{"kvlistValue":{"values":[{"key":"lane","value":'
+            '{"arrayValue":{"values":[{"stringValue":"%s"},{"intValue":"%d"}]}}}]}},{"boolValue":true}]}}}')
+    nested = ('{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"t","spanId":"%s","startTimeUnixNano":"1754575200000000000",'
+              f'"attributes":[{deep}]' "}]}]}]}")
+    reg.add(
+        "otlp_nested_values",
+        ev(lambda e: otlp.events_from_spans(e.select("arrival_seq", F.format_string(
+            nested, F.col("arrival_seq").cast("string"), "lane", "arrival_seq").alias("payload")), "arrival_seq", ns=NS).select("arrival_seq", "extensions")),
+        f"""{W} SELECT arrival_seq, concat('{{"unknown_attributes":{{"custom.deep":[{{"lane":["', lane, '",', arrival_seq, ']}},true]}}}}') AS extensions FROM ev""",
+    )
+
     # Shared attribute policy ahead of the mapping.
     def bags(e: DataFrame) -> DataFrame:
         c = F.col

@@ -97,7 +97,7 @@ def register(reg: Registry) -> None:
         ev(lambda e: TB.event_detail({
             "events": e, "ledger": e.select("event_id", "arrival_seq", F.lit("inserted").alias("decision")),
             "facts": P.measurement_facts(e), "outcomes": P.outcome_events(e),
-            "edges": C.edge_listing(e, ["evt-16"], 1000)}, "evt-16").groupBy("part").agg(F.count("*").alias("rows"))),
+            "edges": C.edge_listing(e, ["evt-16"])}, "evt-16").groupBy("part").agg(F.count("*").alias("rows"))),
         f"""{W}, {PAIRS}, one AS (SELECT * FROM ev WHERE event_id = 'evt-16'), parts AS (
             SELECT 'event' AS part, COUNT(*) AS rows FROM one UNION ALL SELECT 'ledger', COUNT(*) FROM one
             UNION ALL SELECT 'measurements', {facts} FROM one UNION ALL SELECT 'outcomes', COUNT(outcome_kind) FROM one

@@ -75,9 +75,6 @@ def register(reg: Registry) -> None:
             missing = "uncorrelated" if l == "correlation_basis" else "unknown"
             return f"COALESCE(key_{l}, '{missing}')" if relabel else f"key_{l}"
 
-        labels = [*first, *[l for l in keys if l not in first]]
-        order = [f"{shown(l)} ASC NULLS FIRST" for l in labels]
-        order += [f"key_{l} ASC NULLS FIRST" for l in labels] if relabel else []
         more = f", {_measure_sql(extra)}" if extra else ""
         grouped = (
             "SELECT " + ", ".join(f"{c} AS key_{l}" for l, c in keys.items())
@@ -86,14 +83,14 @@ def register(reg: Registry) -> None:
         return (
             f"{W} SELECT {', '.join(f'{shown(l)} AS {l}' for l in keys)}, count"
             + "".join(f", {n}" for n in extra)
-            + f" FROM ({grouped}) ORDER BY count DESC, {', '.join(order)} LIMIT 100"
+            + f" FROM ({grouped})"
         )
 
     for name, (keys, extra, model_only, relabel) in A.DIMENSIONS.items():
         where = "WHERE event_type = 'model.operation'" if model_only else ""
         reg.add(
             f"dimension_{name}",
-            _ev(lambda e, n=name: A.dimension(e, n, limit=100)),
+            _ev(lambda e, n=name: A.dimension(e, n)),
             top_sql("ev", keys, extra, A.LABEL_ORDER.get(name, ()), relabel, where),
         )
     reg.add(
@@ -108,15 +105,14 @@ def register(reg: Registry) -> None:
         ),
     )
     keys = ", ".join(A.COMPARISON_KEYS)
-    order = ", ".join(f"{k} ASC NULLS FIRST" for k in A.COMPARISON_ORDER)
     comparison_sql = f"SELECT {keys}, COUNT(*) AS events, {_measure_sql(A.COMPARISON_MEASURES)} FROM ev"
     reg.add("comparison", _ev(A.comparison),
-            f"{W} {comparison_sql} GROUP BY {keys} ORDER BY COUNT(*) DESC, {order} LIMIT 100")
+            f"{W} {comparison_sql} GROUP BY {keys}")
     reg.add(
         "comparison_filtered",
-        _ev(lambda e: A.comparison(e, {"event_type": "model.operation", "start": "2024-01-03T00:00:00Z"}, 500)),
+        _ev(lambda e: A.comparison(e, {"event_type": "model.operation", "start": "2024-01-03T00:00:00Z"})),
         f"{W} {comparison_sql} WHERE event_type = 'model.operation' AND observed_at >= TIMESTAMP '2024-01-03' "
-        f"GROUP BY {keys} ORDER BY COUNT(*) DESC, {order} LIMIT 500",
+        f"GROUP BY {keys}",
     )
 
     # Filters: one query that counts the matches of every filter name on its own.
@@ -155,8 +151,8 @@ def register(reg: Registry) -> None:
         _ev(lambda e: FL.in_range(e, "2024-01-10T00:00:00Z", "2024-01-12T12:00:00Z").select(*cols)),
         f"{W} SELECT {listed} FROM ev WHERE observed_at BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12 12:00:00'",
     )
-    reg.add("event_list", _ev(lambda e: FL.list_events(e, {"client": "cli-a"}, 1000).select(*cols)),
-            f"{W} SELECT {listed} FROM ev WHERE client = 'cli-a' ORDER BY observed_at, event_id LIMIT 1000")
+    reg.add("event_list", _ev(lambda e: FL.list_events(e, {"client": "cli-a"}).select(*cols)),
+            f"{W} SELECT {listed} FROM ev WHERE client = 'cli-a'")
     reg.add("event_lookup", _ev(lambda e: FL.point_lookup(e, "evt-77").select(*cols)),
             f"{W} SELECT {listed} FROM ev WHERE event_id = 'evt-77'")
     reg.add("session_timeline", _ev(lambda e: FL.session_timeline(e, "session-1[0-9]$").select(*cols)),
@@ -202,12 +198,12 @@ def register(reg: Registry) -> None:
     reg.add("hierarchy_edges", _ev(P.hierarchy_edges), f"{W} {edges}")
     reg.add(
         "fact_listing",
-        _ev(lambda e: P.measurement_facts(e).orderBy("observed_at", "event_id", "field_path").limit(5000)
+        _ev(lambda e: P.fact_listing(P.measurement_facts(e))
             .select("event_id", "field_path", "value")),
-        f"{W} SELECT event_id, field_path, value FROM ({fact_selects}) ORDER BY observed_at, event_id, field_path LIMIT 5000",
+        f"{W} SELECT event_id, field_path, value FROM ({fact_selects})",
     )
     reg.add(
         "outcome_listing",
-        _ev(lambda e: P.outcome_events(e).orderBy("observed_at", "event_id").limit(1000)),
-        f"{W} SELECT * FROM outcome_rows ORDER BY observed_at, event_id LIMIT 1000",
+        _ev(lambda e: P.outcome_listing(P.outcome_events(e))),
+        f"{W} SELECT * FROM outcome_rows",
     )

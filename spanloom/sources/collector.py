@@ -63,7 +63,10 @@ DELETED_FROM_RECORDS = (*DELETED, *"""
 ~prompt_text ~response_body ~raw_prompt ~raw_completion ~request_body ~input_text ~output_text ~tool_input
 ~tool_output ~tool_result ~tool_arguments ~body ~response id_token signing_key
 """.split())
-MASKED_ON_SPAN_EVENTS = DELETED[:9]
+MASKED_ON_SPAN_EVENTS = tuple("""
+gen_ai.prompt gen_ai.completion gen_ai.input.messages gen_ai.output.messages gen_ai.tool.call.arguments
+gen_ai.tool.call.result gen_ai.request.body gen_ai.response.body ~raw_api_body
+""".split())
 STAMPS = {"~telemetry_plane": "out_of_band", "~normalization.version": "1.0"}
 BODY_MASK = "[CONTENT_REDACTED]"
 # ---- end of fixed values

@@ -28,7 +28,6 @@ NESTED = ("data", "event", "params")
 ERROR_KEYS = ("error", "failed", "is_error", "isError", "tool_error", "toolError")
 LIFECYCLE = "session|notification|interrupt|compact|stop|start|end"
 ABORT_EVENTS = ("interrupt", "aborted", "abort")
-MAX_LABEL, MAX_ID = 160, 256
 NUMBERS = {
     "usage.input_tokens": ("input_tokens", "inputTokens"), "usage.output_tokens": ("output_tokens", "outputTokens"),
     "usage.cached_tokens": ("cached_tokens", "cachedTokens"),
@@ -48,17 +47,17 @@ def _first(doc: Column, *keys: str) -> Column:
     return F.coalesce(*[V.given(V.at(doc, *p)) for p in paths])
 
 
-def _squeezed(v: Column, limit: int) -> Column:
+def _squeezed(v: Column) -> Column:
     text = F.when(V.kind(v) == "STRING", F.trim(F.regexp_replace(V.as_text(v), r"\s+", " ")))
-    return F.nullif(F.substring(text, 1, limit), F.lit(""))
+    return F.nullif(text, F.lit(""))
 
 
 def label(v: Column) -> Column:
-    return F.regexp_replace(_squeezed(v, MAX_LABEL), "[^A-Za-z0-9_.:@/+-]", "_")
+    return F.regexp_replace(_squeezed(v), "[^A-Za-z0-9_.:@/+-]", "_")
 
 
 def identifier(v: Column) -> Column:
-    text = _squeezed(v, MAX_ID)
+    text = _squeezed(v)
     return F.when(text.rlike(r"\A[A-Za-z0-9_.:@/+-]+\z"), text)
 
 
@@ -88,7 +87,7 @@ def events_from_hooks(rows: DataFrame, *carry: str) -> DataFrame:
         "provider": _lookup(name, {k: v[1] for k, v in CLIENTS.items()}, F.lit("unknown")),
         "error": V.any_of(*[F.coalesce(~F.to_json(_first(doc, k)).isin("false", '""'), F.lit(False)) for k in ERROR_KEYS]),
         "session": identifier(_first(doc, "session_id", "sessionId", "session")),
-        "seen_at": parse_time(_squeezed(_first(doc, "observed_at", "timestamp", "time"), 80)),
+        "seen_at": parse_time(_squeezed(_first(doc, "observed_at", "timestamp", "time"))),
     })
     word = F.replace(F.replace(F.lower("event_name"), F.lit("-"), F.lit("")), F.lit(" "), F.lit(""))
     event_type = F.when(word.contains("tool"), "tool.operation").when(word.rlike(LIFECYCLE), "agent.lifecycle").otherwise("telemetry.log")

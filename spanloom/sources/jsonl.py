@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import variants as V
 from ..operators.normalize import normalize
 
-MAX_LINE_BYTES = 1_048_576  # with the line break
-
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with their file and arrival order within this read."""
@@ -19,13 +17,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def parse_lines(lines: DataFrame, *carry: str, line: str = "line", max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
-    """Adds ``doc`` and ``line_error`` to non-blank lines; a bad line never stops its siblings."""
+def parse_lines(lines: DataFrame, *carry: str, line: str = "line", max_bytes: int | None = None) -> DataFrame:
+    """Adds ``doc`` and ``line_error`` to non-blank lines; a bad line never stops its siblings.
+
+    ``max_bytes`` is the caller's choice: lines of that size and more are rejected.
+    """
     text = F.col(line)
-    doc = V.parse(F.when(F.octet_length(text) < max_bytes, text))
+    long = F.lit(False) if max_bytes is None else F.octet_length(text) >= max_bytes
+    doc = V.parse(F.when(~long, text))
     rows = lines.where(~text.rlike(r"^\s*$")).select(*carry, line, doc.alias("doc"))
     error = (
-        F.when(F.octet_length(text) >= max_bytes, "exceeds max_line_bytes")
+        F.when(long, "exceeds max_line_bytes")
         .when(F.col("doc").isNull(), "invalid JSON")
         .when(~V.is_object(F.col("doc")), "record must be an object")
     )
@@ -38,7 +40,7 @@ def line_rejects(parsed: DataFrame, *carry: str) -> DataFrame:
 
 def events_from_lines(
     lines: DataFrame, *carry: str, source_name: str = "jsonl", line: str = "line",
-    max_bytes: int = MAX_LINE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Envelope rows with ``reasons``; unreadable lines come out with their error as reason."""
     parsed = parse_lines(lines, *carry, line=line, max_bytes=max_bytes)

@@ -1,7 +1,8 @@
 """OTLP/JSON traces, logs and metrics as envelope rows.
 
-A payload is read in one pass with a fixed schema, taken apart by three explodes, and mapped by
-column expressions. A malformed part becomes one rejected row; its siblings are kept.
+A payload is parsed once to a VARIANT and cast to a fixed schema, where an element of a wrong kind becomes NULL
+and its siblings stay. Three explodes take it apart; column expressions map the records. A malformed part becomes one
+rejected row that says where it stands. Texts, lists and attributes are taken whole.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from ..functions.identity import struct_id
 from ..schema import FLAG_FIELDS, NUMBER_FIELDS, SECTIONS, TEXT_DEFAULTS, TEXT_FIELDS
 
 # ---- Fixed values
-MAX_ATTRIBUTES, MAX_ITEMS, MAX_TEXT, MAX_POINTS = 256, 256, 512, 64
 KNOWN_SERVICES = {"claude-code": "anthropic", "claude-code-desktop": "anthropic"}
 TOOL_KINDS = ("tool", "tool.operation", "tool_call", "tool.call")
 TOOL_LOGS = ("tool_result", "tool_decision")
@@ -55,9 +55,12 @@ route.kind
 
 _SCALARS = "stringValue string, intValue string, doubleValue string, boolValue boolean, bytesValue string"
 _ANY = (
-    f"struct<{_SCALARS}, arrayValue struct<values array<struct<{_SCALARS}>>>, "
-    f"kvlistValue struct<values array<struct<`key` string, value struct<{_SCALARS}>>>>>"
+    f"struct<{_SCALARS}, arrayValue struct<values array<variant>>, "
+    "kvlistValue struct<values array<struct<`key` string, value variant>>>>"
 ).replace(", ", ",")
+_PAIRS = "array<struct<key:string,value:variant>>"
+# Lists in lists are decoded down to this level; whatever lies deeper is kept as it was sent.
+DECODED_LEVELS = 6
 _ATTRS = f"array<struct<`key` string,value {_ANY}>>"
 _RESOURCE = f"resource struct<attributes {_ATTRS}>,schemaUrl string"
 _SCOPE = "scope struct<name string,version string>"
@@ -87,24 +90,43 @@ _MAP = "map<string,variant>"
 def _scalar(v: Column) -> Column:
     number = v["doubleValue"].try_cast("double")
     finite = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
-    cut = lambda t: P.bounded(t, MAX_TEXT)
     return F.coalesce(
-        cut(v["stringValue"]).cast("variant"), v["intValue"].try_cast("bigint").cast("variant"),
-        finite.cast("variant"), v["boolValue"].cast("variant"), cut(v["bytesValue"]).cast("variant"),
+        v["stringValue"].cast("variant"), v["intValue"].try_cast("bigint").cast("variant"),
+        finite.cast("variant"), v["boolValue"].cast("variant"), v["bytesValue"].cast("variant"),
     )
 
 
-def _any_value(v: Column) -> Column:
-    listed = F.transform(F.slice(v["arrayValue"]["values"], 1, MAX_ITEMS), _scalar)
-    pairs = F.slice(v["kvlistValue"]["values"], 1, MAX_ATTRIBUTES)
-    bag = F.map_from_entries(F.transform(
-        F.filter(pairs, lambda p: p["key"].isNotNull()), lambda p: F.struct(p["key"], _scalar(p["value"]))))
-    return F.coalesce(_scalar(v), listed.cast("variant"), F.to_variant_object(bag))
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _any_value(v: Column, levels: int = DECODED_LEVELS) -> Column:
+    """Plain value of an encoded one; a list and a bag share one walk, so the expression grows with the levels only."""
+    if levels == 0:
+        return _scalar(v)
+    listed, bag = v["arrayValue"], v["kvlistValue"]
+    keyless = lambda x: F.struct(F.lit(None).cast("string"), x)
+    pairs = lambda found: F.coalesce(found.cast(_PAIRS), F.array().cast(_PAIRS))
+    members = F.when(listed.isNotNull(), pairs(F.transform(listed["values"], keyless))).when(
+        bag.isNotNull(), pairs(F.filter(bag["values"], lambda p: p["key"].isNotNull())))
+
+    def plain(member: Column) -> Column:
+        if levels == 1:
+            return member["value"]
+        typed = F.try_variant_get(member["value"], "$", _ANY)
+        return _bound(typed, lambda t: _any_value(t, levels - 1))
+
+    decoded = F.transform(members, lambda m: F.struct(m["key"], plain(m))).cast(_PAIRS)
+    nested = _bound(decoded, lambda d: F.when(
+        listed.isNotNull(), F.transform(d, lambda m: m["value"]).cast("variant")).otherwise(
+        F.to_variant_object(F.map_from_entries(d))))
+    return F.coalesce(_scalar(v), F.when(members.isNotNull(), nested))
 
 
 def attribute_map(attrs: Column) -> Column:
-    """Attribute list as a map; first 256 entries, the last value of a key wins."""
-    kept = F.filter(F.slice(attrs, 1, MAX_ATTRIBUTES), lambda a: a["key"].isNotNull())
+    """Attribute list as a map; the last value of a key wins."""
+    kept = F.filter(attrs, lambda a: a["key"].isNotNull())
     pairs = F.transform(kept, lambda a: F.struct(a["key"], _any_value(a["value"])))
     return F.coalesce(F.map_from_entries(pairs), F.create_map().cast(_MAP))
 
@@ -208,7 +230,7 @@ def _behavior(k: Keys) -> dict[str, Column]:
         "behavior.files_changed_count": k.loose("~files.changed.count"),
         "behavior.commands_executed_count": k.loose("~commands.executed.count"),
         "behavior.tests_invoked_count": k.loose("~tests.invoked.count"),
-        "behavior.tool_names": F.array_distinct(F.slice(listed, 1, MAX_POINTS)),
+        "behavior.tool_names": F.array_distinct(listed),
     }
 
 
@@ -311,19 +333,43 @@ def _bags(bag: Column, ns: str, extra: dict[str, Column] | None = None) -> dict[
 
 
 def _exploded(payloads: DataFrame, signal: str, names: tuple[str, str, str], carry: tuple[str, ...], payload: str) -> DataFrame:
-    """One row per innermost record; a missing or malformed level leaves one row with NULL record."""
+    """One row per innermost record; a missing or malformed level leaves one row with NULL record and its ``cause``."""
     outer, middle, inner = names
-    doc = F.from_json(F.col(payload), SCHEMAS[signal])
-    rows = payloads.select(*carry, doc.alias("d"))
-    rows = rows.select(*carry, F.explode_outer(f"d.{outer}").alias("r"))
+    doc = F.try_variant_get(V.parse(F.col(payload)), "$", f"struct<{SCHEMAS[signal]}>")
+    # The digest keeps apart the rejected parts of different payloads.
+    rows = payloads.select(*carry, F.sha2(payload, 256).alias("sent"), doc.alias("d"))
+    rows = rows.select(*carry, "sent", F.col("d").isNotNull().alias("readable"), F.posexplode_outer(f"d.{outer}").alias("i", "r"))
     rows = rows.select(
-        *carry, attribute_map(F.col("r.resource.attributes")).alias("resource_attrs"),
-        F.col("r.schemaUrl").alias("schema_url"), F.explode_outer(f"r.{middle}").alias("s"),
+        *carry, "sent", "readable", "i", F.col("r").isNotNull().alias("outer_ok"),
+        attribute_map(F.col("r.resource.attributes")).alias("resource_attrs"),
+        F.col("r.schemaUrl").alias("schema_url"), F.posexplode_outer(f"r.{middle}").alias("j", "s"),
     )
-    return rows.select(
-        *carry, "resource_attrs", "schema_url", F.col("s.scope").alias("scope"),
+    rows = rows.select(
+        *carry, "sent", "readable", "i", "outer_ok", "j", F.col("s").isNotNull().alias("middle_ok"),
+        "resource_attrs", "schema_url", F.col("s.scope").alias("scope"),
         F.posexplode_outer(f"s.{inner}").alias("record_index", "rec"),
     )
+    c = F.col
+    at = [F.concat(F.lit(f"{outer}["), c("i"), F.lit("]"))]
+    at.append(F.concat(at[0], F.lit(f".{middle}["), c("j"), F.lit("]")))
+    at.append(F.concat(at[1], F.lit(f".{inner}["), c("record_index"), F.lit("]")))
+    empty, wrong = " has no records", " must be an object"
+    cause = (
+        F.when(~c("readable"), "invalid JSON").when(c("i").isNull(), outer + empty)
+        .when(~c("outer_ok"), F.concat(at[0], F.lit(wrong))).when(c("j").isNull(), F.concat(at[0], F.lit(f".{middle}{empty}")))
+        .when(~c("middle_ok"), F.concat(at[1], F.lit(wrong))).when(c("record_index").isNull(), F.concat(at[1], F.lit(f".{inner}{empty}")))
+        .when(c("rec").isNull(), F.concat(at[2], F.lit(wrong)))
+    )
+    return rows.withColumn("cause", cause).drop("readable", "i", "outer_ok", "j", "middle_ok", "record_index")
+
+
+def _part_id() -> Column:
+    """Id of a rejected part: its payload and its place; NULL for a record."""
+    return F.concat(F.lit("malformed:"), F.col("sent"), F.lit(":"), F.col("cause"))
+
+
+def _part_reason(signal: str) -> Column:
+    return F.concat(F.lit(f"malformed {signal} record: "), F.col("cause"))
 
 
 def _provenance(values: dict[str, Column], stated: dict[str, Column]) -> Column:
@@ -469,8 +515,9 @@ def _records(payloads: DataFrame, signal: str, carry: tuple[str, ...], payload:
                  "reliability.reassessment_count", "reliability.rework_count", *[f"performance.{n}" for n in TIMING_KEYS]):
         stated[path] = _seen(values[path])
     values["provenance.fields"] = _provenance(values, stated)
+    values["event_id"] = F.coalesce(_part_id(), values["event_id"])
     reasons = [
-        F.when(c("rec").isNull(), f"malformed {signal} record"),
+        _part_reason(signal),
         F.when(c("rec").isNotNull() & values["observed_at"].isNull(), "timestamp must be an integer number of nanoseconds"),
         *not_number,
     ]
@@ -478,7 +525,7 @@ def _records(payloads: DataFrame, signal: str, carry: tuple[str, ...], payload:
 
 
 def events_from_metrics(payloads: DataFrame, *carry: str, payload: str = "payload", ns: str = "telemetry") -> DataFrame:
-    """One event per metric and attribute context of its first 64 points."""
+    """One event per metric and attribute context of its points."""
     rows = _exploded(payloads, "metrics", ("resourceMetrics", "scopeMetrics", "metrics"), carry, payload)
     kinds = ("gauge", "sum", "histogram", "exponentialHistogram")
     rows = rows.withColumns({
@@ -499,14 +546,24 @@ def events_from_metrics(payloads: DataFrame, *carry: str, payload: str = "payloa
             p["startTimeUnixNano"].alias("start_time_unix_nano"),
         )
 
-    kept = F.when(~F.col("wrong"), F.slice("all_points", 1, MAX_POINTS))
+    # The points of a metric are in one row already, so they are grouped there, by sorting and cutting into runs: no shuffle.
+    # One-element explodes keep each step a column of its own, computed once.
+    kept = F.transform(F.when(~F.col("wrong"), F.col("all_points")), described)
     rows = rows.select(
-        *carry, "resource_attrs", "schema_url", "scope", "metric_type", "wrong",
-        F.col("rec.name").alias("name"), F.col("rec.unit").alias("unit"), F.transform(kept, described).alias("described"),
+        *carry, "sent", "cause", "resource_attrs", "schema_url", "scope", "metric_type", "wrong",
+        F.col("rec.name").alias("name"), F.col("rec.unit").alias("unit"), F.explode(F.array(kept)).alias("described"),
     )
-    # Points of a metric are grouped inside its row (at most 64 of them): no shuffle.
-    rows = rows.withColumn("context", F.explode_outer(F.array_distinct(F.transform("described", lambda p: p["context"]))))
-    rows = rows.withColumn("points", F.filter("described", lambda p: p["context"] == F.col("context"))).drop("described")
+    place = F.array_sort(F.transform("described", lambda p, i: F.struct(p["context"], i))).cast("array<struct<context:string,i:int>>")
+    rows = rows.select("*", F.explode(F.array(place)).alias("place"))
+    before = lambda i: F.get("place", i - 1)["context"]
+    starts = F.array_compact(F.transform("place", lambda o, i: F.when((i == 0) | (o["context"] != before(i)), i)))
+    rows = rows.select("*", F.explode(F.array(starts)).alias("starts"))
+    runs = F.transform("starts", lambda s, j: F.struct(
+        s, F.coalesce(F.get("starts", j + 1), F.size("place")) - s)).cast("array<struct<first:int,n:int>>")
+    rows = rows.select("*", F.explode_outer(runs).alias("run"))
+    own = F.slice("place", F.col("run.first") + 1, F.col("run.n"))
+    rows = rows.select("*", F.explode(F.array(F.transform(own, lambda o: F.get("described", o["i"])))).alias("points"))
+    rows = rows.withColumn("context", F.element_at("points", 1)["context"]).drop("described", "place", "starts", "run")
     grouped = rows.withColumn("attrs", attribute_map(F.element_at("points", 1)["attributes"]))
     identity = F.map_filter("attrs", lambda k, v: k.isin(*METRIC_IDENTITY_PUBLIC, *[f"{ns}.{n}" for n in METRIC_IDENTITY_PRIVATE]))
     grouped = grouped.withColumn("bag", F.map_concat("resource_attrs", identity))
@@ -542,5 +599,6 @@ def events_from_metrics(payloads: DataFrame, *carry: str, payload: str = "payloa
             F.to_variant_object(unknown_attributes(c("attrs"), ns)))})["extensions"],
         "attributes": F.to_json(F.struct(metric_name.alias("metric.name"), summary.alias("metric.points"), c("metric_type").alias("metric.type"), c("unit").alias("metric.unit"))),
     })
-    reasons = [F.when(c("wrong"), "malformed metric")]
+    values["event_id"] = F.coalesce(_part_id(), values["event_id"])
+    reasons = [F.when(c("cause").isNotNull(), _part_reason("metrics")).when(c("wrong"), "malformed metric")]
     return _envelope(grouped, values, reasons, carry)

@@ -89,7 +89,6 @@ testsinvokedcount tests_invoked agent_failure agentfailure reassessment_count re
 reassessments rework_count reworkcount rework rework_loops finish_reason finish_reasons stop_reason
 request_id requestid auth_mode authmode reasoning_effort reasoningeffort route
 """.split())
-MAX_TOOLS, MAX_TRIES, MAX_UNKNOWN = 64, 32, 64
 # ---- end of fixed values
 
 
@@ -129,7 +128,7 @@ def _status_code(doc: Column, keys: tuple[str, ...]) -> Column:
 
 
 def tool_calls(doc: Column) -> Column:
-    """Distinct (id, name, type) of tool calls in order, at most 64; never arguments or results."""
+    """Distinct (id, name, type) of tool calls in order; never arguments or results."""
     none = F.array().cast("array<variant>")
     lists = [F.when(V.is_array(V.at(doc, k)), V.items(V.at(doc, k))) for k in ("tool_calls", "content", "output")]
     candidates = F.coalesce(F.when(V.is_array(V.at(doc, "candidates")), V.items(V.at(doc, "candidates"))), none)
@@ -147,7 +146,7 @@ def tool_calls(doc: Column) -> Column:
             unknown(call_id).alias("id"), unknown(name).alias("name"),
             F.coalesce(F.nullif(kind, F.lit("")), F.lit("tool_call")).alias("type")))
 
-    return F.slice(F.array_distinct(F.filter(F.transform(items, call), lambda c: c.isNotNull())), 1, MAX_TOOLS)
+    return F.array_distinct(F.filter(F.transform(items, call), lambda c: c.isNotNull()))
 
 
 def _gateway(doc: Column, route: Column) -> list[tuple[str, Column]]:
@@ -156,7 +155,7 @@ def _gateway(doc: Column, route: Column) -> list[tuple[str, Column]]:
     requested = F.when((route == "openrouter") | any_given, _text(doc, "requested_model", "requestedModel", "model"))
     tries = F.coalesce(V.truthy(V.at(doc, "provider_attempts")), V.truthy(V.at(doc, "providerAttempts")))
     unknown = lambda d, *keys: F.coalesce(_text(d, *keys), F.lit("unknown"))
-    listed = F.transform(F.filter(F.slice(V.items(tries), 1, MAX_TRIES), V.is_object), lambda t: F.struct(
+    listed = F.transform(F.filter(V.items(tries), V.is_object), lambda t: F.struct(
         unknown(t, "model", "model_name", "modelName").alias("model"),
         unknown(t, "provider", "provider_name", "providerName").alias("provider"),
         unknown(t, "status", "status_code", "statusCode").alias("status")))
@@ -165,13 +164,12 @@ def _gateway(doc: Column, route: Column) -> list[tuple[str, Column]]:
 
 
 def unknown_keys(doc: Column) -> Column:
-    """Up to 64 unlisted keys; nested values are masked with the other bags."""
-    rest = F.map_filter(V.entries(doc), lambda k, v: ~F.replace(F.lower(k), F.lit("-"), F.lit("_")).isin(*CORE_KEYS))
-    return F.map_from_entries(F.slice(F.map_entries(rest), 1, MAX_UNKNOWN))
+    """Unlisted keys; nested values are masked with the other bags."""
+    return F.map_filter(V.entries(doc), lambda k, v: ~F.replace(F.lower(k), F.lit("-"), F.lit("_")).isin(*CORE_KEYS))
 
 
 def events_from_responses(rows: DataFrame, *carry: str) -> DataFrame:
-    """One event per response row."""
+    """One event per response row; a ``project_id`` column, where there is one, is part of the id."""
     c = F.col
     rows = rows.withColumn("doc", V.parse(c("response_json")))
     doc = c("doc")
@@ -222,6 +220,8 @@ def events_from_responses(rows: DataFrame, *carry: str) -> DataFrame:
     reassess = _count(doc, "reassessment_count", "reassessmentCount", "reassessments")
     rework = _count(doc, "rework_count", "reworkCount", "rework_loops", "rework")
     scope = {"client": c("client"), "provider": c("provider"), "route": c("route")}
+    if "project_id" in rows.columns:
+        scope["project"] = c("project_id")
     full_id = struct_id(**scope, **{k.replace(".", "_"): v for k, v in texts.items()}, observed=c("observed_at"), failed=c("failed"),
                         code=c("code"), kind=kind, request=_text(doc, "request_id", "requestId"))
     short_id = struct_id(**scope, response=V.strict_text(response_id))
@@ -269,6 +269,8 @@ def events_from_responses(rows: DataFrame, *carry: str) -> DataFrame:
         "attributes": F.to_json(F.to_variant_object(attributes)),
         "extensions": F.when(F.size(strange) > 0, F.to_json(F.to_variant_object(F.create_map(F.lit("provider"), F.to_variant_object(strange))))),
     }
+    if "project_id" in rows.columns:
+        values["project.project_id"] = c("project_id")
     return _envelope(rows, values, [F.when(~F.coalesce(V.is_object(doc), F.lit(False)), "provider response must be an object")], carry)
 
 
