@@ -10,10 +10,11 @@ there is one block for each such shingle that two classes hold (equal blocks cou
 packed and joined with itself under the bounds; the pairs left are verified on whole texts.
 
 The order puts common shingles last (seen in a bounded sample; it changes the work, never the result), so a frequent
-line or passage makes no block. Blocks that stay large belong to groups of near copies. They are joined in two rounds, as all blocks are:
-first every class with its best earlier partner, or the smallest class of a large block; then, once components
-are known, only pairs of different components, large blocks in parts of at most ``BLOCK`` classes. Rows grow with
-classes, not with the square of a group.
+line or passage makes no block. Blocks that stay large belong to groups of near copies. First every class is joined with its best
+earlier partner in each block; a large block is dealt by hash into parts of about ``BLOCK`` classes, and a class goes with one of its large
+blocks only. ``ROUNDS`` more rounds deal the large blocks anew, for the best earlier partner in another component. Last, all pairs of
+different components are searched: in small blocks that had more candidates than the first search gave, and in every part of the
+large ones. Rows grow with classes, not with the square of a group.
 
 Null or empty text: the empty set, linked with nothing. Rows with null id take part, but a component is the smallest non-null id;
 if there is none it is null. Repeated rows are one class. Other columns are not read.
@@ -32,6 +33,7 @@ WORDS = 4
 PERCENT = 85
 GROUPS = 256
 BLOCK = 256
+ROUNDS = 2
 LEAF = 16
 SAMPLE = 4096  # texts whose shingles decide which are common
 COMMON_SHARE = 0.002
@@ -177,7 +179,10 @@ _PAIR = "a long, b long, likely double"
 
 
 def _search(batches, best_only: bool):
-    """Joins each block with itself: all pairs of different components, or each class's best earlier partner."""
+    """Joins each block with itself: pairs of different components, all of them or each class's best earlier partner.
+
+    With ``best_only``, a block that has more candidates than it gives adds a row (block, null, null).
+    """
     lead, told = None, set()
     for t in c.by_key(batches, ["lead", "part", "block"]):
         if t.num_rows < 2:
@@ -186,22 +191,26 @@ def _search(batches, best_only: bool):
             lead, told = now, set()  # pairs that other blocks with the same smallest class have given
         cls, sizes = t.column("cls").to_numpy(), t.column("n").to_numpy()
         cls, one = np.unique(cls, return_index=True)
+        component = t.column("component").to_numpy()[one]
         points = _matrix(t.column("counts").take(pa.array(one)).to_pylist())
         i, j, likely = RTree(points, sizes[one]).join()
         a, b = np.minimum(i, j), np.maximum(i, j)
+        other = np.flatnonzero(component[a] != component[b])
+        a, b, likely = a[other], b[other], likely[other]
+        more = []
         if best_only:
             order = np.lexsort((a, -likely, b))
-            first = np.flatnonzero(np.diff(b[order], prepend=-1))
-            pick = order[first]
+            pick = order[np.flatnonzero(np.diff(b[order], prepend=-1))]
+            if len(pick) < len(a):
+                more = [t.column("block")[0].as_py()]
         else:
-            component = t.column("component").to_numpy()[one]
-            pick = np.flatnonzero(component[a] != component[b])
-        if not best_only:
-            ends = list(zip(cls[a[pick]].tolist(), cls[b[pick]].tolist()))
-            pick = pick[[x not in told for x in ends]] if ends else pick
+            ends = list(zip(cls[a].tolist(), cls[b].tolist()))
+            pick = np.array([k for k, x in enumerate(ends) if x not in told], np.int64)
             told.update(ends)
         if len(pick):
-            yield pa.RecordBatch.from_arrays([pa.array(cls[a[pick]]), pa.array(cls[b[pick]]), pa.array(likely[pick])], names=["a", "b", "likely"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cls[a[pick]].tolist() + more, pa.int64()), pa.array(cls[b[pick]].tolist() + [None] * len(more), pa.int64()),
+                 pa.array(likely[pick].tolist() + [None] * len(more), pa.float64())], names=["a", "b", "likely"])
 
 
 def _tree_pairs(members: DataFrame, best_only: bool) -> DataFrame:
@@ -247,6 +256,25 @@ def _blocks(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return c.staged(small, "blocks"), large
 
 
+def _dealt(large: DataFrame, salt: int) -> DataFrame:
+    """Each class of ``large`` in one part of one of its blocks, chosen by a hash that copies mostly share."""
+    one = large.groupBy("cls").agg(F.min_by(F.struct("block", "lead", "m"), F.struct(F.xxhash64("block", F.lit(salt)), "block")).alias("x"))
+    part = F.pmod(F.xxhash64("cls", F.lit(salt)), F.ceil(F.col("x.m") / BLOCK)).cast("int") + 1
+    return one.select("x.block", "x.lead", "cls", part.alias("part"))
+
+
+def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
+    """``of`` (cls, component) after joining the components that ``links`` connect."""
+    end = lambda k: of.select(F.col("cls").alias(k), F.col("component").alias(f"of_{k}"))
+    across = links.join(end("a"), "a").join(end("b"), "b").select("of_a", "of_b")
+    merged = components(across, "of_a", "of_b").select(F.col("id").alias("component"), F.col("component").alias("_to"))
+    return of.join(merged, "component", "left").select("cls", F.coalesce("_to", "component").alias("component"))
+
+
+def _best(found: DataFrame) -> DataFrame:
+    return found.where("b is not null").groupBy("b").agg(F.max_by("a", F.struct("likely", "a")).alias("a")).select("a", "b")
+
+
 def _components_of_rows(docs: DataFrame) -> DataFrame:
     """doc_id, at (text hash), n, component_id of every row."""
     c.tuned(docs.sparkSession)
@@ -254,34 +282,38 @@ def _components_of_rows(docs: DataFrame) -> DataFrame:
     classes = points.where("n > 0").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("head").alias("head"))
     classes = c.staged(classes, "classes")
+    rows = c.staged(points.select("doc_id", "at", "n", "cls"), "rows")
+    c.drop_staged(points)
     small, large = _blocks(classes)
     point = classes.select("cls", "n", "counts")
-    whole = small.withColumn("part", F.lit(0)).join(point, "cls")
-    best = _tree_pairs(whole, True)
     large = c.staged(large.join(c.staged(large.groupBy("block").agg(F.min("cls").alias("lead")), "leads"), "block"), "large-blocks")
-    lead = large.where("lead < cls").select(
-        F.col("lead").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("likely")).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("likely"))
-    first = c.staged(best.unionAll(lead).groupBy("b").agg(F.max_by("a", F.struct("likely", "a")).alias("a")).select("a", "b"), "pairs")
-    links = _verified(first, classes, docs)
+    whole = small.withColumn("part", F.lit(0)).unionByName(_dealt(large, 0)).join(point, "cls").withColumn("component", F.col("cls"))
+    found = c.staged(_tree_pairs(whole, True), "found")
+    tried = c.staged(_best(found), "pairs")
+    links = _verified(tried, classes, docs)
     known = components(links).withColumnRenamed("id", "cls")
-    # Second round: pairs of different components only.
-    named = c.staged(point.join(known, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "named")
-    of = named.select("cls", "component")
-    mixed = small.join(of, "cls")  # blocks hold BLOCK classes at most
-    some = mixed.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("block")
-    rest = small.join(some, "block", "left_semi").withColumn("part", F.lit(0)).join(named, "cls")
-    second = _tree_pairs(rest.unionByName(_parts(large, of).join(named, "cls")), False)
-    second = c.staged(second.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    final = of
-    if not second.isEmpty():
-        end = lambda k: of.select(F.col("cls").alias(k), F.col("component").alias(f"of_{k}"))
-        across = _verified(second, classes, docs).join(end("a"), "a").join(end("b"), "b").select("of_a", "of_b")
-        merged = components(across, "of_a", "of_b").select(F.col("id").alias("component"), F.col("component").alias("_to"))
-        final = of.join(merged, "component", "left").select("cls", F.coalesce("_to", "component").alias("component"))
+    of = c.staged(classes.select("cls").join(known, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component")), "of")
+    for salt in range(1, ROUNDS + 1 if not large.isEmpty() else 1):
+        again = _dealt(large, salt).join(point, "cls").join(of, "cls")
+        pairs = c.staged(_best(_tree_pairs(again, True)).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        of = c.staged(_merged(of, _verified(pairs, classes, docs)), "of")
+        tried = tried.unionByName(pairs)
+    # Last round: all pairs of different components not yet tried, among them those that the first search gave and _best left out.
+    end = lambda k: of.select(F.col("cls").alias(k), F.col("component").alias(f"of_{k}"))
+    left = found.where("b is not null").join(end("a"), "a").join(end("b"), "b").where("of_a <> of_b").select("a", "b")
+    open_ = found.where("b is null").select(F.col("a").alias("block")).distinct()
+    some = c.staged(small.join(open_, "block", "left_semi"), "open-blocks").join(of, "cls")  # blocks hold BLOCK classes at most
+    mixed = some.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("block")
+    rest = some.join(mixed, "block", "left_semi").withColumn("part", F.lit(0)).unionByName(_parts(large, of).join(of, "cls"))
+    pairs = _tree_pairs(rest.join(point, "cls"), False).select("a", "b").unionByName(left).distinct()
+    last = c.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    final = of if last.isEmpty() else _merged(of, _verified(last, classes, docs))
     low = final.join(classes.select("cls", "rep"), "cls").groupBy("component").agg(F.min("rep").alias("low"))
     final = final.join(low, "component").select("cls", "low")
     ids = classes.select("cls", "rep").join(final, "cls", "left").select("cls", F.coalesce("low", "rep").alias("component_id"))
-    out = points.select("doc_id", "at", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(ids, "cls", "left")
+    out = rows.select("doc_id", "at", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(ids, "cls", "left")
     return out.select("doc_id", "at", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
