@@ -112,6 +112,22 @@ def test_ngram_join_equals_brute_force(docs_of, odd_texts, monkeypatch, block):
     assert got == {i: (len(sets[i]), want[i]) for i in range(len(texts))}
 
 
+def test_ngram_join_of_one_large_group(docs_of, monkeypatch):
+    """Copies with one or two words changed: many links to few texts, and blocks that hold many classes."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    words, texts = [f"w{i}" for i in range(50)], []
+    for k in range(90):
+        copy = list(words)
+        for at in rng.integers(50, size=1 + k % 2):
+            copy[int(at)] = f"e{rng.integers(10**6)}"
+        texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(90) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_copies(docs_of(texts)).collect()}
+    assert got == roots(range(90), links) and 1 < len(set(got.values())) < 90
+
+
 def test_ngram_join_dedup_keeps_one_of_each_group(docs_of):
     docs = docs_of(["a b c d e f g h", "a b c d e f g h", None, "", "z"], [3, 1, 5, None, 7])
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in ngram_join.dedup(docs).collect()) == [(False, 0), (True, 1), (True, 5), (True, 7)]
