@@ -13,8 +13,12 @@ The order puts common shingles last (seen in a bounded sample; it changes the wo
 line or passage makes no block. Blocks that stay large belong to groups of near copies. First every class is joined with its best
 earlier partner in each block; a large block is dealt by hash into parts of about ``BLOCK`` classes, and a class goes with one of its large
 blocks only. ``ROUNDS`` more rounds deal the large blocks anew, for the best earlier partner in another component. Last, all pairs of
-different components are searched: in small blocks that had more candidates than the first search gave, and in every part of the
-large ones. Rows grow with classes, not with the square of a group.
+different components are searched: in small blocks that had more candidates than the first search gave, and in the large ones by
+pairs of cells. A cell holds about ``BLOCK`` classes of one set size band, of one component where that is larger than a cell; two
+cells meet once, if a large block holds classes of both, and not if they are of one component or too far apart in size. Pairs of
+cells with many candidates compare whole shingle sets in place, the others give their pairs to the check on texts. A task holds two
+cells at a time, whatever the group. Rows grow with classes, except where large components share head shingles: their pairs
+of cells grow with the product of their sizes.
 
 Null or empty text: the empty set, linked with nothing. Rows with null id take part, but a component is the smallest non-null id;
 if there is none it is null. Repeated rows are one class. Other columns are not read.
@@ -22,6 +26,8 @@ if there is none it is null. Repeated rows are one class. Other columns are not
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -34,6 +40,9 @@ PERCENT = 85
 GROUPS = 256
 BLOCK = 256
 ROUNDS = 2
+WEIGHT = 1 << 20  # shingles in a cell, about
+DENSE = 2  # candidates for each class of two cells above which their sets are compared in place
+TOLD = 1 << 20  # pairs a task remembers; a pair told twice costs work only
 LEAF = 16
 SAMPLE = 4096  # texts whose shingles decide which are common
 COMMON_SHARE = 0.002
@@ -206,6 +215,8 @@ def _search(batches, best_only: bool):
         else:
             ends = list(zip(cls[a].tolist(), cls[b].tolist()))
             pick = np.array([k for k, x in enumerate(ends) if x not in told], np.int64)
+            if len(told) + len(ends) > TOLD:
+                told = set()
             told.update(ends)
         if len(pick):
             yield pa.RecordBatch.from_arrays(
@@ -263,6 +274,115 @@ def _dealt(large: DataFrame, salt: int) -> DataFrame:
     return one.select("x.block", "x.lead", "cls", part.alias("part"))
 
 
+def _cells(large: DataFrame, of: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of large blocks with several components (cls, cell), and the pairs of cells that can hold a link (x, y)."""
+    rows = large.select("block", "cls").join(of, "cls")
+    mixed = rows.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("block")
+    rows = c.staged(rows.join(mixed, "block"), "mixed-blocks")
+    # Linked sets are in one band or in neighbours; a band is a little wider than the ratio, so rounding is no matter.
+    band = F.floor(F.log("n") / F.lit(math.log(100 / (PERCENT - 0.5)))).cast("int")
+    one = rows.groupBy("cls", "component").agg(F.min("block").alias("block")).join(sizes, "cls").withColumn("band", band)
+    # Small components of one block share cells, so that a cell holds classes that meet anyway.
+    many = one.groupBy("component").agg(F.count(F.lit(1)).alias("k")).select("component", (F.col("k") > BLOCK).alias("own"))
+    one = c.staged(one.join(many, "component").withColumn("of", F.when(F.col("own"), F.col("component")).otherwise(F.col("block"))), "cell-rows")
+    group = ["own", "of", "band"]
+    parts = one.groupBy(group).agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / WEIGHT)).alias("parts"))
+    cell = F.xxhash64(*group, F.pmod(F.xxhash64("cls", F.lit(-1)), F.col("parts")))
+    members = c.staged(one.join(parts, group).select("cls", *group, cell.alias("cell")), "cells")
+    seen = c.staged(rows.select("block", "cls").join(members, "cls").select("block", "cell", *group).distinct(), "cells-of-blocks")
+    x = seen.select("block", *[F.col(k).alias(f"{k}_x") for k in ("cell", *group)])
+    y = seen.select("block", *[F.col(k).alias(f"{k}_y") for k in ("cell", *group)])
+    pairs = x.join(y, "block").where(
+        (F.col("cell_x") <= F.col("cell_y")) & (F.abs(F.col("band_x") - F.col("band_y")) <= 1)
+        & ~(F.col("own_x") & F.col("own_y") & (F.col("of_x") == F.col("of_y"))))
+    return members.select("cls", "cell"), c.staged(pairs.select(F.col("cell_x").alias("x"), F.col("cell_y").alias("y")).distinct(), "cell-pairs")
+
+
+def _met(members: DataFrame, pairs: DataFrame, of: DataFrame, what: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over each pair of cells: x, y, cell, cls, component and the columns of ``what``."""
+    rows = pairs.withColumn("cell", F.explode(F.array_distinct(F.array("x", "y")))).join(members, "cell").join(of, "cls").join(what, "cls")
+    return rows.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(run, schema)
+
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a pair of cells are in its first and in its second cell."""
+    cell = t.column("cell").to_numpy()
+    return cell == t.column("x")[0].as_py(), cell == t.column("y")[0].as_py()
+
+
+def _search_cells(batches):
+    """Candidates (a, b) of each pair of cells between different components, or (null, null, x, y) where they are many."""
+    for t in c.by_key(batches, ["x", "y"]):
+        cls, component = t.column("cls").to_numpy(), t.column("component").to_numpy()
+        i, j, _ = RTree(_matrix(t.column("counts").to_pylist()), t.column("n").to_numpy()).join()
+        first, second = _sides(t)
+        ok = (component[i] != component[j]) & ((first[i] & second[j]) | (second[i] & first[j]))
+        a, b = np.minimum(cls[i[ok]], cls[j[ok]]), np.maximum(cls[i[ok]], cls[j[ok]])
+        if len(a) > DENSE * t.num_rows:
+            ends = [pa.nulls(1, pa.int64())] * 2 + [pa.array([t.column(k)[0].as_py()], pa.int64()) for k in ("x", "y")]
+        else:
+            ends = [pa.array(a), pa.array(b)] + [pa.nulls(len(a), pa.int64())] * 2
+        yield pa.RecordBatch.from_arrays(ends, names=["a", "b", "x", "y"])
+
+
+def _shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets ``i`` with sets ``j``, over 8,192 shingles at a time."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    some = held > 1
+    row, at = row[some[at]], (np.cumsum(some) - 1)[at[some[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((len(i), len(j)))
+    for low in range(0, int(some.sum()), 8192):
+        cut = slice(*np.searchsorted(at, [low, low + 8192]))
+        has = np.zeros((len(sets), 8192), np.float32)
+        has[row[cut], at[cut] - low] = 1
+        out += has[i] @ has[j].T
+    return out.astype(np.int64)
+
+
+def _link_cells(batches):
+    """A spanning forest of the links of each pair of cells between different components, from whole sets."""
+    for t in c.by_key(batches, ["x", "y"]):
+        cls, component = t.column("cls").to_numpy(), t.column("component").to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()]
+        i, j = (np.flatnonzero(k) for k in _sides(t))
+        sizes = np.array([len(s) for s in sets])
+        shared = _shared(sets, i, j)
+        ok = (100 * shared >= PERCENT * (sizes[i][:, None] + sizes[j][None] - shared)) & (component[i][:, None] != component[j][None])
+        p, q = np.nonzero(ok)
+        a, b = forest(cls[i[p]], cls[j[q]])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _whole_sets(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cls and its sorted shingle hashes."""
+
+    def run(batches):
+        for batch in c.chunks(batches):
+            sets = _sets(c.as_bytes(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "shingles"])
+
+    where = classes.select("cls", "at", F.lit(True).alias("_needed"))
+    texts = c.joined_flags(docs.select(F.xxhash64("text").alias("at"), "text"), where, "at").where("_needed").dropDuplicates(["cls"])
+    return texts.select("cls", "text").mapInArrow(run, "cls long, shingles binary")
+
+
+def _linked_cells(members: DataFrame, dense: DataFrame, of: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``of`` after the links inside the ``dense`` pairs of cells."""
+    held = dense.select(F.explode(F.array("x", "y")).alias("cell")).distinct()
+    needed = members.join(held, "cell", "left_semi")
+    now = needed.join(of, "cls").groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    end = lambda k: now.select(F.col("cell").alias(k), F.col("low").alias(f"low_{k}"), F.col("high").alias(f"high_{k}"))
+    open_ = dense.join(end("x"), "x").join(end("y"), "y").where("least(low_x, low_y) < greatest(high_x, high_y)").select("x", "y")
+    sets = c.staged(_whole_sets(classes.join(needed, "cls", "left_semi"), docs), "shingle-sets")
+    links = c.staged(_met(members, open_, of, sets, _link_cells, "a long, b long"), "links")
+    c.drop_staged(sets)
+    return _merged(of, links)
+
+
 def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
     """``of`` (cls, component) after joining the components that ``links`` connect."""
     end = lambda k: of.select(F.col("cls").alias(k), F.col("component").alias(f"of_{k}"))
@@ -306,10 +426,16 @@ def _components_of_rows(docs: DataFrame) -> DataFrame:
     open_ = found.where("b is null").select(F.col("a").alias("block")).distinct()
     some = c.staged(small.join(open_, "block", "left_semi"), "open-blocks").join(of, "cls")  # blocks hold BLOCK classes at most
     mixed = some.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("block")
-    rest = some.join(mixed, "block", "left_semi").withColumn("part", F.lit(0)).unionByName(_parts(large, of).join(of, "cls"))
-    pairs = _tree_pairs(rest.join(point, "cls"), False).select("a", "b").unionByName(left).distinct()
+    rest = some.join(mixed, "block", "left_semi").withColumn("part", F.lit(0))
+    pairs = _tree_pairs(rest.join(point, "cls"), False).select("a", "b").unionByName(left)
+    members, cells = _cells(large, of, classes.select("cls", "n"))
+    met = c.staged(_met(members, cells, of, point, _search_cells, "a long, b long, x long, y long"), "met-cells")
+    pairs = pairs.unionByName(met.where("a is not null").select("a", "b")).distinct()
     last = c.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    final = of if last.isEmpty() else _merged(of, _verified(last, classes, docs))
+    final = of if last.isEmpty() else c.staged(_merged(of, _verified(last, classes, docs)), "of")
+    dense = met.where("a is null").select("x", "y")
+    if not dense.isEmpty():
+        final = _linked_cells(members, dense, final, classes, docs)
     low = final.join(classes.select("cls", "rep"), "cls").groupBy("component").agg(F.min("rep").alias("low"))
     final = final.join(low, "component").select("cls", "low")
     ids = classes.select("cls", "rep").join(final, "cls", "left").select("cls", F.coalesce("low", "rep").alias("component_id"))
@@ -334,18 +460,5 @@ def dedup(docs: DataFrame) -> DataFrame:
     return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay_id")) & (F.xxhash64("text") == F.col("_stay_at")), "left_semi")
 
 
-
-
-def _parts(large: DataFrame, of: DataFrame) -> DataFrame:
-    """Large blocks with several components, in parts: classes of the commonest component are dealt out by hash, the others are in every part."""
-    rows = large.join(of, "cls")
-    sizes = rows.groupBy("block", "component").agg(F.count(F.lit(1)).alias("k"))
-    most = sizes.groupBy("block").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    rows = rows.join(most, "block").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
-    part = F.when(F.col("component") == F.col("most"), F.array(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))).otherwise(
-        F.sequence(F.lit(0), F.col("parts") - 1))
-    return rows.select("block", "lead", "cls", F.explode(part).alias("part"))
-
-
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
     return near_copies(c.table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.llm import line_dedup, ngram_join, repeats, vectors
@@ -128,6 +129,62 @@ def test_ngram_join_of_one_large_group(docs_of, monkeypatch):
     assert got == roots(range(90), links) and 1 < len(set(got.values())) < 90
 
 
+def test_ngram_join_of_two_large_families_keeps_tasks_small(docs_of, monkeypatch):
+    """Two families just too different to link, in the same blocks, with one pair of texts that does link."""
+    block, met = 16, []
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join.c, "drop_staged", lambda *frames: None)
+    docs = docs_of([])
+    sort = type(docs).sortWithinPartitions
+
+    def noted(df, *keys):
+        met.append(df.groupBy(*keys).count())
+        return sort(df, *keys)
+
+    monkeypatch.setattr(type(docs), "sortWithinPartitions", noted)
+    rng = np.random.default_rng(5)
+    first = [f"w{i}" for i in range(1000)]
+    second = [f"v{i}" if i % 48 == 7 else w for i, w in enumerate(first)]
+    between = first[:100] + second[100:]
+    for bridge in (False, True):
+        texts = []
+        for base in (first, second):
+            for _ in range(100):
+                copy = list(base)
+                copy[int(rng.integers(1000))] = f"e{rng.integers(10**6)}"
+                texts.append(" ".join(copy))
+        texts += [" ".join(second if bridge else first), " ".join(first[:500] + between[500:] if bridge else first + ["tail"])]
+        sets = [shingles(t) for t in texts]
+        links = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_copies(docs_of(texts)).collect()}
+        assert got == roots(range(len(texts)), links) and len(set(got.values())) == 2 - bridge
+        assert max(m.agg({"count": "max"}).first()[0] or 0 for m in met) <= 4 * block
+        met.clear()
+
+
+def test_ngram_cells_with_many_candidates_compare_whole_sets():
+    """Two cells of families too close for the counts alone: one row asks for whole sets, and those give the links of brute force."""
+    rng = np.random.default_rng(9)
+    first = [f"w{i}" for i in range(1000)]
+    second = [f"v{i}" if i % 48 == 7 else w for i, w in enumerate(first)]
+    texts = [second, first[:500] + second[500:]]
+    for base in (first, second):
+        for _ in range(12):
+            copy = list(base)
+            copy[int(rng.integers(1000))] = f"e{rng.integers(10**6)}"
+            texts.append(copy)
+    texts = [" ".join(t).encode() for t in texts]
+    sets, side = ngram_join._sets(texts), [1, 0] + [0] * 12 + [1] * 12
+    rows = {"x": [0] * 26, "y": [1] * 26, "cell": side, "cls": list(range(26)), "component": side, "n": [len(s) for s in sets],
+            "counts": [ngram_join._point(s) for s in sets], "shingles": [s.tobytes() for s in sets]}
+    batches = pa.table(rows).to_batches()
+    assert [b.to_pylist() for b in ngram_join._search_cells(batches)] == [[{"a": None, "b": None, "x": 0, "y": 1}]]
+    words = [shingles(t.decode()) for t in texts]
+    want = [(i, j) for i in range(26) for j in range(i) if side[i] != side[j] and 100 * len(words[i] & words[j]) >= 85 * len(words[i] | words[j])]
+    got = [(r["a"], r["b"]) for b in ngram_join._link_cells(batches) for r in b.to_pylist()]
+    assert want and roots(range(26), got) == roots(range(26), want)
+
+
 def test_ngram_join_dedup_keeps_one_of_each_group(docs_of):
     docs = docs_of(["a b c d e f g h", "a b c d e f g h", None, "", "z"], [3, 1, 5, None, 7])
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in ngram_join.dedup(docs).collect()) == [(False, 0), (True, 1), (True, 5), (True, 7)]
