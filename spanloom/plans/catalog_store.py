@@ -16,12 +16,49 @@ from ..sources import jsonl
 from ..streaming import intake as ST
 from . import inputs
 from .catalog_intake import CORRELATED, EDGES, PAIRS, lines
+from .catalog_tables import _measure_sql
 from .registry import Registry
 
 W = inputs.WITH
 CUT = "2024-01-12T06:00:00Z"
 
 
+def _metric_rows(source: str, keys: dict[str, str], measures: str, metrics: dict[str, str], missing: str = "unknown") -> str:
+    """SQL of (series, number) for each metric of each group, from one aggregation."""
+    def label(name: str) -> str:
+        text = f"COALESCE(key_{name}, '{missing if name == 'correlation_basis' else 'unknown'}')"
+        for raw, escaped in (("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), ("chr(10)", "'\\n'")):
+            text = f"replace({text}, {raw}, {escaped})"
+        return f"'{name}=\"' || {text} || '\"'"
+
+    tag = "'{' || " + " || ',' || ".join(map(label, keys)) + " || '}'" if keys else "''"
+    columns = ", ".join([*[f"{c} AS key_{k}" for k, c in keys.items()], measures])
+    group = f" GROUP BY {', '.join(keys.values())}" if keys else ""
+    cells = ", ".join(f"{{'name': '{n}', 'number': CAST({c} AS DOUBLE)}}" for n, c in metrics.items())
+    return (f"SELECT m.name || tag AS series, COALESCE(m.number, CAST('NaN' AS DOUBLE)) AS number FROM (SELECT {tag} AS tag, unnest([{cells}]) AS m "
+            f"FROM (SELECT {columns} FROM {source}{group}))")
+
+
+def _all_metrics_sql() -> str:
+    parts = [
+        _metric_rows("ev", {}, "COUNT(*) AS events, " + _measure_sql(A.SUMMARY_MEASURES), X._SUMMARY),
+        _metric_rows("conflict_rows", {}, "COUNT(*) AS n", {"event_conflicts_total": "n"}),
+        _metric_rows("outcome_rows", {}, "COUNT(*) AS n", {"outcomes_total": "n"}),
+    ]
+    more = {"provider_model": {**X._PROVIDER, "success_rate_by_provider_model": "successes / count"}, "context": X._CONTEXT}
+    for name in ("provider_model", "context", "usage_source", "project", "client_route", "execution", "workflow", "agent"):
+        keys, extra, model_only, _ = A.DIMENSIONS[name]
+        source = "ev WHERE event_type = 'model.operation'" if model_only else "ev"
+        measures = "COUNT(*) AS count" + (f", {_measure_sql(extra)}" if extra else "")
+        parts.append(_metric_rows(source, keys, measures, more.get(name, {f"events_by_{name}_total": "count"})))
+    parts.append(_metric_rows(
+        "outcome_rows o JOIN ev e ON e.event_id = o.event_id",
+        {"kind": "o.kind", "status": "o.status", "evidence_source": "o.evidence_source", "project": "e.project_id", "repository": "e.repository",
+         "branch": "e.branch", "correlation_basis": "o.correlation_basis"},
+        "COUNT(*) AS count", {"outcomes_by_kind_status_total": "count"}, "uncorrelated"))
+    return f"{W} " + " UNION ALL ".join(parts)
+
+
 def register(reg: Registry) -> None:
     def ev(fn):
         return lambda spark, d: fn(inputs.events(spark, d))
@@ -87,6 +124,14 @@ def register(reg: Registry) -> None:
             '",repository="', COALESCE(repository, 'unknown'), '",branch="', COALESCE(branch, 'unknown'), '",correlation_basis="', COALESCE(o.correlation_basis, 'uncorrelated'), '"}} ', COUNT(*))
             FROM outcome_rows o JOIN ev USING (event_id) GROUP BY kind, o.status, o.evidence_source, project_id, repository, branch, o.correlation_basis""",
     )
+    # Every line, as its series and its number, so that the check does not depend on how an engine writes a double.
+    reg.add(
+        "metric_export_all",
+        lambda spark, d: (lambda t: X.metric_lines(t["events"], t["outcomes"], t["conflicts"]).select(
+            F.regexp_extract("value", r"(?s)^(.*) ([^ ]+)$", 1).alias("series"),
+            F.regexp_extract("value", r"(?s)^(.*) ([^ ]+)$", 2).cast("double").alias("number")))(inputs.tables(spark, d)),
+        _all_metrics_sql(),
+    )
     reg.add(
         "table_counts",
         ev(lambda e: A.table_counts(e, P.measurement_facts(e), P.outcome_events(e))),
