@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, ngram_join, packing, quality, repeats, scoring, sharding, toxicity, vectors
+from . import bpe, line_dedup, ngram_join, packing, prefix_trie, quality, repeats, scoring, sharding, toxicity, vectors
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +20,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
     vectors.op1_embedding_near_dedup, packing.op2_packing, bpe.op3_bpe, scoring.op4_lm_scoring, sharding.op5_sharding,
     toxicity.op6_toxicity, quality.op7_quality_rules, ngram_join.op8_ngram_join, line_dedup.op9_line_dedup,
-    repeats.op10_suffix_array_dedup,
+    repeats.op10_suffix_array_dedup, prefix_trie.op11_conversation_prefix_trie,
 )} | {"pipeline": _pipeline}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -78,4 +78,42 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id"""
 
-CHECKS: dict[str, str] = {"op1_embedding_near_dedup": _OP1, "op8_ngram_join": _OP8, "op9_line_dedup": _OP9}
+# crc32 of the digits of a number, bit by bit.
+_CRC = """xor(4294967295::BIGINT, list_reduce(
+  list_prepend(4294967295::BIGINT, list_transform(string_split({}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), list_transform(range(8), lambda i: i::BIGINT)),
+    lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)))"""
+
+_OP11 = f"""
+WITH convs AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce("text", '')}} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+cuts AS (SELECT *, ({_CRC.format("conv_id")} % 4)::BIGINT AS h FROM convs),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS path
+  FROM cuts c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 20
+),
+members AS (
+  SELECT conv_id, len(path) AS size, d, path[1:d] AS prefix, d > 0 AS inner_node,
+         CASE WHEN d > 0 THEN len(regexp_extract_all(path[d].text, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS words
+  FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM rebuilt)
+),
+nodes AS (
+  SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved, max(size) = d AS leaf,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends_sha256
+  FROM members GROUP BY d, prefix
+),
+numbered AS (SELECT *, row_number() OVER () AS id FROM nodes),
+spots AS (SELECT n.id, m.conv_id AS member FROM numbered n JOIN members m ON m.d = n.d AND m.prefix = n.prefix),
+under AS (
+  SELECT a.id, sum(b.saved) AS saved_tokens, count(*) FILTER (WHERE b.leaf) AS n_leaves, count(*) FILTER (WHERE b.d = a.d + 1) AS n_children
+  FROM spots s JOIN numbered a ON a.id = s.id JOIN numbered b ON b.conv_id = s.member AND b.d >= a.d GROUP BY a.id
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, u.n_children, u.n_leaves,
+       u.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM numbered n JOIN under u ON u.id = n.id LEFT JOIN numbered p ON n.d > 0 AND p.d = n.d - 1 AND p.prefix = n.prefix[1:n.d - 1]"""
+
+CHECKS: dict[str, str] = {
+    "op1_embedding_near_dedup": _OP1, "op8_ngram_join": _OP8, "op9_line_dedup": _OP9, "op11_conversation_prefix_trie": _OP11,
+}
