@@ -46,7 +46,7 @@ _WORD = (1 << 64) - 1
 
 def _power(exponents: np.ndarray) -> np.ndarray:
     """BASE to each exponent, in 64-bit words."""
-    out, square, left = np.ones(len(exponents), np.uint64), BASE, exponents.astype(np.int64)
+    out, square, left = np.ones(len(exponents), np.uint64), np.full(1, BASE), exponents.astype(np.int64)
     while left.any():
         out = np.where(left & 1, out * square, out)
         square, left = square * square, left >> 1
