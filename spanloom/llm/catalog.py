@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, ngram_join, packing, prefix_trie, quality, repeats, scoring, sharding, toxicity, vectors
+from . import (
+    bpe, line_dedup, neighbours, ngram_join, packing, prefix_trie, quality, repeats, scoring, sharding, toxicity, vectors, whitening,
+)
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +23,7 @@ QUERIES: dict[str, Run] = {f.__name__: f for f in (
     vectors.op1_embedding_near_dedup, packing.op2_packing, bpe.op3_bpe, scoring.op4_lm_scoring, sharding.op5_sharding,
     toxicity.op6_toxicity, quality.op7_quality_rules, ngram_join.op8_ngram_join, line_dedup.op9_line_dedup,
     repeats.op10_suffix_array_dedup, prefix_trie.op11_conversation_prefix_trie,
+    whitening.op12_embedding_whitening, neighbours.op13_nearest_neighbours,
 )} | {"pipeline": _pipeline}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
