@@ -9,9 +9,9 @@ that is largest in absolute value among ``WIDTH`` random ones, with its sign (2
 Search. A query descends in every tree to its longest prefix that is heavy (at least 1 / ``HEAVY`` of the space; the driver holds the ranges
 of these alone, at most HEAVY a tree and length), then all trees ascend together: a character shorter in each step, and at the first
 character to the query's next best letters one by one, until the ranges of all trees hold ``SHARE`` of the space (``LEAST`` entries at least); beyond the last letter
-stands the whole space. Ranges are cut at fixed blocks of positions, so a hot range is many tasks, and a
-block with many queries is dealt to several. Tasks score by codes and return the best ``KEEP`` for each query and block; the best ``RESCORED`` classes of a
-query are scored anew in double precision on the original vectors, its own class always among them, and become rows by their ids.
+stands the whole space. The array of a space is cut into ``SEGMENTS`` segments and the queries of a segment into parts of about ``ASKED``; a task holds its queries
+and streams the entries of its segment past them, so its memory does not grow with the segment, and a query gets at most ``KEEP`` entries from each segment. Tasks
+score by codes; the best ``RESCORED`` classes of a query are scored anew in double precision on the original vectors, its own class always among them, and become rows by their ids.
 
 ``SHARE`` decides recall: vectors without structure (the tables here) need most of the space for 0.9, clustered ones a small part. Nothing is cut inside a
 range, and no bucket has a cap.
@@ -39,8 +39,8 @@ CHARS = 6
 HEAVY = 1024
 SHARE = 0.8
 LEAST = 4096
-BLOCK = 8192  # positions in one block
-ASKED = 2048  # queries of one task
+SEGMENTS = 12  # of each space; tasks are SEGMENTS x parts of the queries
+ASKED = 8192  # queries of one task
 KEEP = 40
 RESCORED = 60
 SEED = 13
@@ -63,13 +63,11 @@ def _rows(vectors: DataFrame) -> DataFrame:
 
 def _classes(rows: DataFrame) -> DataFrame:
     """A row for each distinct vector: its number, ids of the first NEAREST + 1 rows, whether a query is among its rows."""
-    slim = rows.select("h1", "h2", "vec_id")
     order = Window.partitionBy("h1", "h2").orderBy("vec_id")
-    ids = slim.withColumn("r", F.row_number().over(order)).where(F.col("r") <= NEAREST + 1).groupBy("h1", "h2").agg(
-        F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    ids = ids.withColumnsRenamed({"h1": "i1", "h2": "i2"})
-    classes = rows.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.max(F.col("vec_id") % EVERY == 0).alias("asks"))
-    both = classes.join(ids, (F.col("h1") == F.col("i1")) & (F.col("h2") == F.col("i2")))
+    first = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= NEAREST + 1)
+    both = first.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v"))
+    asking = rows.where(F.col("vec_id") % EVERY == 0).select("h1", "h2", F.lit(True).alias("asking")).distinct()
+    both = both.join(asking, ["h1", "h2"], "left").withColumn("asks", F.coalesce("asking", F.lit(False)))
     largest = F.array_max(F.transform("v", F.abs))
     norm = largest * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / largest) * (x / largest)))
     return c.staged(both.select(
@@ -85,6 +83,12 @@ class Space:
     n: int
     mean: np.ndarray
     top: float
+    segments: int
+
+    @property
+    def length(self) -> int:
+        """Positions in one segment."""
+        return -(-self.n * TREES // self.segments)
 
     def lift(self, v: np.ndarray) -> np.ndarray:
         at = (v - self.mean) / (self.top or 1.0)
@@ -133,7 +137,7 @@ def _spaces(banded: DataFrame) -> list[Space]:
                                                  schema=pa.schema([("dim", pa.int32()), ("band", pa.int64()), ("x", pa.float64())]))
 
     tops = {(r["dim"], r["band"]): r["x"] for r in slim.mapInArrow(reach, "dim int, band long, x double").groupBy("dim", "band").agg(F.max("x").alias("x")).collect()}
-    return [Space(*key, int(found[key][0]), means[key], tops[key]) for key in sorted(found)]
+    return [Space(*key, int(found[key][0]), means[key], tops[key], SEGMENTS) for key in sorted(found)]
 
 
 def _letters(dim: int, tree: int, lifted: np.ndarray) -> np.ndarray:
@@ -242,7 +246,7 @@ def _directory(entries: DataFrame, spaces: list[Space]) -> Directory:
 
 
 def _asked(queries: DataFrame, spaces: list[Space], directory: Directory, share: float) -> DataFrame:
-    """(query, block, ranges) after the trees have ascended together."""
+    """(query, segment, ranges) after the trees have ascended together."""
     of_dim: dict[int, list[int]] = {}
     for k, s in enumerate(spaces):
         of_dim.setdefault(s.dim, []).append(k)
@@ -283,7 +287,7 @@ def _asked(queries: DataFrame, spaces: list[Space], directory: Directory, share:
             out.append((low[some][order], (low + count)[some][order]))
         return out
 
-    schema = pa.schema([("query", pa.int64()), ("block", pa.int64()), ("step", pa.float32()), ("code", pa.binary()), ("lows", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+    schema = pa.schema([("query", pa.int64()), ("segment", pa.int64()), ("step", pa.float32()), ("code", pa.binary()), ("lows", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -295,79 +299,113 @@ def _asked(queries: DataFrame, spaces: list[Space], directory: Directory, share:
                 for k in of_dim[int(d)]:
                     for q, step, code, (lows, ends) in zip(cls, steps.tolist(), codes, ascend(v, k)):
                         by: dict[int, tuple[list[int], list[int]]] = {}
+                        start, length = int(begin[k]), spaces[k].length
                         for low, end in zip(lows.tolist(), ends.tolist()):
-                            for block in range(low // BLOCK, (end - 1) // BLOCK + 1):
-                                x, y = by.setdefault(block, ([], []))
-                                low_in, end_in = max(low, block * BLOCK), min(end, (block + 1) * BLOCK)
+                            for i in range((low - start) // length, (end - 1 - start) // length + 1):
+                                x, y = by.setdefault(k * spaces[k].segments + i, ([], []))
+                                low_in, end_in = max(low, start + i * length), min(end, start + (i + 1) * length)
                                 if y and y[-1] == low_in:
                                     y[-1] = end_in
                                 else:
                                     x.append(low_in)
                                     y.append(end_in)
-                        rows += [(q, block, step, code, x, y) for block, (x, y) in by.items()]
+                        rows += [(q, segment, step, code, x, y) for segment, (x, y) in by.items()]
                 if rows:
                     yield c.table_of(schema, *zip(*rows))
 
-    return c.staged(queries.select("cls", "dim", "v").mapInArrow(run, "query long, block long, step float, code binary, lows array<long>, ends array<long>"), "neighbour-ranges")
-
-
-def _best():
-    """Scores of the queries of one block part against the entries of their ranges; the best KEEP of each query."""
+    return c.staged(queries.select("cls", "dim", "v").mapInArrow(run, "query long, segment long, step float, code binary, lows array<long>, ends array<long>"), "neighbour-ranges")
+
+
+class _Running:
+    """The queries of one task and the best KEEP entries of each so far."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.asked = None
+
+    def ask(self, t: pa.RecordBatch) -> None:
+        self.rows += zip(*(t.column(k).to_pylist() for k in ("query", "code", "step", "lows", "ends")))
+
+    def _start(self) -> None:
+        codes = np.frombuffer(b"".join(r[1] for r in self.rows), "<i2").reshape(len(self.rows), -1)
+        self.asked = codes.astype(np.float32) * np.array([r[2] for r in self.rows], np.float32)[:, None]
+        self.lows, self.ends = ([np.array(r[k], np.int64) for r in self.rows] for k in (3, 4))
+        self.score = np.full((len(self.rows), KEEP), -np.inf, np.float32)
+        self.cls = np.zeros((len(self.rows), KEEP), np.int64)
+
+    def meet(self, t: pa.RecordBatch) -> None:
+        """Score a run of entries, in order of their places, for the queries that ask for any of them."""
+        if not self.rows:
+            return
+        if self.asked is None:
+            self._start()
+        place, names = t.column("place").to_numpy(), t.column("cls").to_numpy()
+        codes = np.frombuffer(b"".join(t.column("code").to_pylist()), "<i2").reshape(len(place), -1)
+        entry = codes.astype(np.float32) * t.column("step").to_numpy()[:, None]
+        spans = [(np.searchsorted(place, a), np.searchsorted(place, b)) for a, b in zip(self.lows, self.ends)]
+        some = np.flatnonzero([bool((b > a).any()) for a, b in spans])
+        for at in range(0, len(some), 512):
+            mine = some[at:at + 512]
+            near = self.asked[mine] @ entry.T
+            edge = np.zeros((len(mine), len(place) + 1), np.int8)
+            for i, q in enumerate(mine):
+                a, b = spans[q]
+                np.add.at(edge[i], a, 1)
+                np.add.at(edge[i], b, -1)
+            near[np.cumsum(edge, axis=1, dtype=np.int8)[:, :-1] == 0] = -np.inf
+            better = np.flatnonzero((near > self.score[mine].min(axis=1)[:, None]).any(axis=1))
+            if len(better):
+                q = mine[better]
+                score = np.concatenate([self.score[q], near[better]], axis=1)
+                cls = np.concatenate([self.cls[q], np.broadcast_to(names, (len(q), len(names)))], axis=1)
+                top = np.argpartition(-score, KEEP - 1, axis=1)[:, :KEEP]
+                self.score[q], self.cls[q] = np.take_along_axis(score, top, axis=1), np.take_along_axis(cls, top, axis=1)
+
+    def found(self, schema: pa.Schema) -> pa.RecordBatch | None:
+        if self.asked is None:
+            return None
+        ok = np.isfinite(self.score)
+        who = np.repeat(np.array([r[0] for r in self.rows], np.int64), ok.sum(axis=1))
+        return c.table_of(schema, who, self.cls[ok], self.score[ok])
+
+
+def _best(batches):
+    """Streams segments past the queries of their parts; the best KEEP of each query."""
     schema = pa.schema([("query", pa.int64()), ("cls", pa.int64()), ("near", pa.float32())])
-
-    def run(batches):
-        for t in c.by_key(batches, ["block", "part"]):
-            kind = t.column("asks").to_numpy()
-            e, q = t.filter(pa.array(~kind)), t.filter(pa.array(kind))
-            if not e.num_rows or not q.num_rows:
+    held, running = None, _Running()
+    for batch in batches:
+        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("segment", "part", "entry")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
                 continue
-            place, cls = e.column("place").to_numpy(), e.column("cls").to_numpy()
-            size = np.array([len(x) // 2 for x in e.column("code").to_pylist()])
-            for d in np.unique(size):  # a block may hold the end of one space and the start of another
-                mine = np.flatnonzero(size == d)
-                flat = np.frombuffer(b"".join(e.column("code").take(pa.array(mine)).to_pylist()), "<i2").reshape(-1, d)
-                entry = flat.astype(np.float32) * e.column("step").to_numpy()[mine][:, None]
-                spots, names = place[mine], cls[mine]
-                lists = list(zip(*(q.column(k).to_pylist() for k in ("query", "code", "step", "lows", "ends"))))
-                lists = [x for x in lists if len(x[1]) == 2 * d]
-                for a in range(0, len(lists), 256):
-                    some = lists[a:a + 256]
-                    asked = np.frombuffer(b"".join(x[1] for x in some), "<i2").reshape(-1, d).astype(np.float32) * np.array([x[2] for x in some], np.float32)[:, None]
-                    near = asked @ entry.T
-                    edge = np.zeros((len(some), len(spots) + 1), np.int8)
-                    for i, (_, _, _, lows, ends) in enumerate(some):
-                        np.add.at(edge[i], np.searchsorted(spots, lows), 1)
-                        np.add.at(edge[i], np.searchsorted(spots, ends), -1)
-                    near[np.cumsum(edge, axis=1, dtype=np.int8)[:, :-1] == 0] = -np.inf
-                    k = min(KEEP, near.shape[1])
-                    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                    score = np.take_along_axis(near, top, axis=1)
-                    ok = np.isfinite(score)
-                    who = np.repeat(np.array([x[0] for x in some], np.int64), ok.sum(axis=1))
-                    yield c.table_of(schema, who, names[top[ok]], score[ok])
-
-    return run
-
-
-def _candidates(classes: DataFrame, entries: DataFrame, asked: DataFrame) -> DataFrame:
+            task = (keys[a, 0], keys[a, 1])
+            if task != held:
+                out = running.found(schema)
+                if out is not None:
+                    yield out
+                held, running = task, _Running()
+            (running.meet if keys[a, 2] else running.ask)(batch.slice(a, b - a))
+    out = running.found(schema)
+    if out is not None:
+        yield out
+
+
+def _candidates(classes: DataFrame, entries: DataFrame, asked: DataFrame, spaces: list[Space]) -> DataFrame:
     """(query, cls) of the RESCORED classes with the best codes, and the query's own class."""
     first = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     ranges = entries.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("ahead"))
-    placed = entries.join(F.broadcast(ranges), "range").withColumn("place", F.col("place") + F.col("ahead")).withColumn("block", F.floor(F.col("place") / BLOCK))
-    parts = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("parts"))
-    kinds = "block long, part int, asks boolean, place long, cls long, step float, code binary, query long, lows array<long>, ends array<long>"
-
-    def as_task(df, **cols):
-        given = [k.split()[0] for k in kinds.split(", ")]
-        types = dict(k.split() for k in kinds.split(", "))
-        return df.select(*[(cols[k] if k in cols else F.lit(None)).cast(types[k]).alias(k) for k in given])
-
-    held = placed.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    held = as_task(held, asks=F.lit(False), **{k: F.col(k) for k in ("block", "part", "place", "cls", "step", "code")})
-    sent = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int"))
-    sent = as_task(sent, asks=F.lit(True), **{k: F.col(k) for k in ("block", "part", "query", "step", "code", "lows", "ends")})
-    tasks = held.unionByName(sent).repartition("block", "part").sortWithinPartitions("block", "part", "asks", "place")
-    found = tasks.mapInArrow(_best(), "query long, cls long, near float")
+    begin = np.cumsum([0] + [s.n * TREES for s in spaces]).tolist()
+    segment = F.coalesce(*[F.when(F.col("space") == k, k * s.segments + F.floor((F.col("at") - begin[k]) / s.length)) for k, s in enumerate(spaces)])
+    placed = entries.join(F.broadcast(ranges), "range").withColumn("at", F.col("place") + F.col("ahead")).withColumn("segment", segment)
+    parts = asked.groupBy("segment").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("parts"))  # one row a segment
+    held = placed.join(F.broadcast(parts), "segment").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sent = asked.join(F.broadcast(parts), "segment").withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int"))
+    keys = ["segment", "part"]
+    tasks = held.select(*keys, F.lit(1).alias("entry"), F.col("at").alias("place"), "cls", "step", "code").unionByName(
+        sent.select(*keys, F.lit(0).alias("entry"), "query", "step", "code", "lows", "ends"), allowMissingColumns=True)
+    tasks = tasks.repartition(*keys).sortWithinPartitions(*keys, "entry", "place")
+    found = tasks.mapInArrow(_best, "query long, cls long, near float")
     best = found.groupBy("query", "cls").agg(F.max("near").alias("near"))
     rank = Window.partitionBy("query").orderBy(F.desc("near"), "cls")
     best = best.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= RESCORED).select("query", "cls")
@@ -411,7 +449,7 @@ def search(vectors: DataFrame, share: float = SHARE) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     entries = _sorted_array(banded, spaces)
     asked = _asked(classes.where("asks"), spaces, _directory(entries, spaces), share)
-    pairs = _candidates(classes, entries, asked)
+    pairs = _candidates(classes, entries, asked, spaces)
     c.drop_staged(entries, asked)
     near = _scored(classes, pairs)
     of = classes.where("asks").join(near, F.col("cls") == F.col("query")).select("h1", "h2", "near")

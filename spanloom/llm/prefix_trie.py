@@ -223,6 +223,7 @@ def _one_sequence(nodes: DataFrame) -> bool:
 
 def _ends(members: DataFrame) -> DataFrame:
     """SHA-256 of the ids that end at each node, in numerical order."""
+    limit = PIECE
 
     def pieces(batches):
         held, first, ids, size = None, 0, [], 0
@@ -232,7 +233,7 @@ def _ends(members: DataFrame) -> DataFrame:
 
         for batch in batches:
             for *node, conv in zip(*(batch.column(k).to_pylist() for k in (*NODE, "conv_id"))):
-                if ids and (node != held or size > PIECE):
+                if ids and (node != held or size > limit):
                     yield flush()
                     ids = []
                 if not ids:

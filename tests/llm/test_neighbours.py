@@ -52,7 +52,7 @@ def test_small_tables_are_searched_whole(spark):
 @pytest.mark.parametrize("share,least", [(0.8, 0.9), (0.1, 0.35)])
 def test_recall_of_vectors_without_structure(spark, monkeypatch, share, least):
     monkeypatch.setattr(neighbours, "LEAST", 64)
-    monkeypatch.setattr(neighbours, "BLOCK", 500)
+    monkeypatch.setattr(neighbours, "SEGMENTS", 31)
     monkeypatch.setattr(neighbours, "ASKED", 30)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 32))
