@@ -185,6 +185,70 @@ def correlated_pairs(
     ).distinct()
 
 
+def _evidence() -> list[Column]:
+    """Evidence of the edge from the later event, and of the one back to it."""
+    execution = F.nullif(F.try_element_at("provenance_fields", F.lit("execution")), F.lit(""))
+    return [relation_evidence(F.lit("outcome_correlation")).alias("own_evidence"), F.coalesce(execution, F.lit("unknown")).alias("reverse_evidence")]
+
+
+def _pair_edges(pairs: DataFrame, *carry: str) -> DataFrame:
+    """Both edges of each (later_id, earlier_id) with the later event's times and evidence."""
+    end = lambda child, parent, ev: F.struct(F.col(child).alias("child"), F.col(parent).alias("parent"), F.col(ev).alias("ev"))
+    return pairs.select(
+        F.explode(F.array(end("later_id", "earlier_id", "own_evidence"), end("earlier_id", "later_id", "reverse_evidence"))).alias("e"),
+        "observed_at", "received_at", *carry,
+    ).select(
+        F.col("e.child").alias("child_event_id"), F.col("e.parent").alias("parent_event_id"),
+        F.lit("outcome_correlation").alias("relation"), F.col("e.parent").alias("target_id"),
+        F.col("e.ev").alias("evidence_source"), "observed_at", "received_at", *carry,
+    )
+
+
+KEY_BUCKETS = 16  # stored key rows are cut by key, so that a batch opens only the buckets of its keys
+GRID = 8  # a hot key is a grid of GRID x GRID tasks
+_LATER = ("observed_at", "received_at", "own_evidence", "reverse_evidence")
+
+
+def keyed(events: DataFrame, *order: str) -> DataFrame:
+    """Key rows as they are stored: with their bucket and what an edge takes from its later event."""
+    rows = correlation_keys(events.select("*", *_evidence()), *order, *_LATER)
+    return rows.withColumn("key_bucket", F.pmod(F.xxhash64("rule", "key"), F.lit(KEY_BUCKETS)).cast("int"))
+
+
+def _meet(seeks: DataFrame, offers: DataFrame, hot: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Seeking rows with the earlier rows that offer their key; rows of hot keys are spread over a grid of tasks."""
+    position = F.struct(*order)
+    hot = F.broadcast(hot.select("full", F.lit(True).alias("hot")))
+
+    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.when(F.col("hot"), F.pmod(F.xxhash64("event_id"), F.lit(GRID))).otherwise(F.lit(0)).cast("int")
+        every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(GRID - 1))).otherwise(F.array(F.lit(0)))
+        return df.withColumn("full", F.concat_ws(_SEP, "rule", "key")).join(hot, "full", "left").withColumn(own, mine).withColumn(other, F.explode(every))
+
+    left = spread(seeks, "x", "y").select(
+        "full", "x", "y", F.col("event_id").alias("later_id"), position.alias("later_at"), F.col(order[0]).alias("later_batch"), *_LATER)
+    right = spread(offers, "y", "x").select(
+        "full", "x", "y", F.col("event_id").alias("earlier_id"), position.alias("earlier_at"), F.col(order[0]).alias("earlier_batch"))
+    met = left.join(right, ["full", "x", "y"]).where(F.col("later_at") > F.col("earlier_at"))
+    return met.select("later_id", "earlier_id", "later_batch", "earlier_batch", *_LATER)
+
+
+def delta_edges(new: DataFrame, stored: DataFrame | None, order: tuple[str, ...]) -> DataFrame:
+    """Edges of the pairs with at least one end in ``new``, each pair once; what two stored ends make is stored already.
+
+    ``order`` starts with the batch, so either end may be the later one, whatever order batches are committed in.
+    """
+    new = new.where(F.col("rule") != "both")
+    every = new if stored is None else new.unionByName(stored.where(F.col("rule") != "both"), allowMissingColumns=True)
+    counts = every.groupBy(F.concat_ws(_SEP, "rule", "key").alias("full")).agg(F.count("*").alias("n"))
+    hot = hot_keys(counts, "full")
+    side = lambda df, name: df.where(F.col("side") == name)
+    pairs = _meet(side(new, "seeks"), side(every, "offers"), hot, order)
+    if stored is not None:
+        pairs = pairs.unionByName(_meet(side(stored.where(F.col("rule") != "both"), "seeks"), side(new, "offers"), hot, order))
+    return _pair_edges(pairs.dropDuplicates(["later_id", "earlier_id"]), "later_batch", "earlier_batch")
+
+
 def edge_listing(
     events: DataFrame, event_ids: list[str] | DataFrame, limit: int | None = None,
     order: tuple[str, ...] = ("arrival_seq",),
@@ -194,22 +258,8 @@ def edge_listing(
     places = _with_ids(edges, "child_event_id", event_ids).unionByName(
         _with_ids(_with_ids(edges, "child_event_id", event_ids, "left_anti"), "parent_event_id", event_ids))
     pairs = correlated_pairs(events, event_ids, order)
-    later = events.select(
-        F.col("event_id").alias("later_id"), "observed_at", "received_at",
-        relation_evidence(F.lit("outcome_correlation")).alias("own_evidence"),
-        F.coalesce(F.nullif(F.try_element_at("provenance_fields", F.lit("execution")), F.lit("")), F.lit("unknown"))
-        .alias("reverse_evidence"),
-    )
-    both = pairs.join(later, "later_id").select(
-        F.explode(F.array(
-            F.struct(F.col("later_id").alias("child"), F.col("earlier_id").alias("parent"), F.col("own_evidence").alias("ev")),
-            F.struct(F.col("earlier_id").alias("child"), F.col("later_id").alias("parent"), F.col("reverse_evidence").alias("ev")),
-        )).alias("e"), "observed_at", "received_at",
-    ).select(
-        F.col("e.child").alias("child_event_id"), F.col("e.parent").alias("parent_event_id"),
-        F.lit("outcome_correlation").alias("relation"), F.col("e.parent").alias("target_id"),
-        F.col("e.ev").alias("evidence_source"), "observed_at", "received_at",
-    )
+    later = events.select(F.col("event_id").alias("later_id"), "observed_at", "received_at", *_evidence())
+    both = _pair_edges(pairs.join(later, "later_id"))
     return first_rows(places.unionByName(both), limit, "observed_at", "child_event_id", "relation", "target_id")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# ---- Fixed values: field names of the envelope.
 # Section -> text fields, in envelope order.
 TEXT_FIELDS: dict[str, tuple[str, ...]] = {
     "source": ("kind", "name", "version"),
@@ -118,5 +119,6 @@ def flat_columns() -> list[tuple[str, str]]:
 
 STORE_TABLES = (
     "events", "ingest_ledger", "event_conflicts", "rejects", "measurement_facts",
-    "outcome_events", "attribution_edges", "correlation_keys", "maintenance_actions",
+    "outcome_events", "attribution_edges", "correlation_keys", "correlation_edges", "maintenance_actions",
+    "id_index", "id_filters",
 )
