@@ -15,7 +15,8 @@ earlier partner in each block; a large block is dealt by hash into parts of abou
 blocks only. ``ROUNDS`` more rounds deal the large blocks anew, for the best earlier partner in another component. Last, all pairs of
 different components are searched: in small blocks that had more candidates than the first search gave, and in the large ones by
 pairs of cells. A cell holds about ``BLOCK`` classes of one set size band, of one component where that is larger than a cell; two
-cells meet once, if a large block holds classes of both, and not if they are of one component or too far apart in size. Pairs of
+cells meet once, if a large block holds classes of both, and not if they are of one component, too far apart in size, or if the bound on their
+upper corners leaves no link. Pairs of
 cells with many candidates compare whole shingle sets in place, the others give their pairs to the check on texts. A task holds two
 cells at a time, whatever the group. Rows grow with classes, except where large components share head shingles: their pairs
 of cells grow with the product of their sizes.
@@ -44,6 +45,7 @@ WEIGHT = 1 << 20  # shingles in a cell, about
 DENSE = 2  # candidates for each class of two cells above which their sets are compared in place
 TOLD = 1 << 20  # pairs a task remembers; a pair told twice costs work only
 LEAF = 16
+TASKS = 16  # of the blocks that share a smallest class
 SAMPLE = 4096  # texts whose shingles decide which are common
 COMMON_SHARE = 0.002
 COMMON = 65_536  # common shingles kept, most frequent first
@@ -193,7 +195,7 @@ def _search(batches, best_only: bool):
     With ``best_only``, a block that has more candidates than it gives adds a row (block, null, null).
     """
     lead, told = None, set()
-    for t in c.by_key(batches, ["lead", "part", "block"]):
+    for t in c.by_key(batches, ["lead", "part", "task", "block"]):
         if t.num_rows < 2:
             continue
         if lead != (now := (t.column("lead")[0].as_py(), t.column("part")[0].as_py())):
@@ -225,7 +227,9 @@ def _search(batches, best_only: bool):
 
 
 def _tree_pairs(members: DataFrame, best_only: bool) -> DataFrame:
-    return members.repartition("lead", "part").sortWithinPartitions("lead", "part", "block").mapInArrow(
+    # A pair that two tasks of one smallest class both give costs work only; TASKS keeps such a class from being one task.
+    spread = members.withColumn("task", F.pmod(F.xxhash64("block"), F.lit(TASKS)).cast("int"))
+    return spread.repartition("lead", "part", "task").sortWithinPartitions("lead", "part", "task", "block").mapInArrow(
         lambda batches: _search(batches, best_only), _PAIR)
 
 
@@ -274,9 +278,9 @@ def _dealt(large: DataFrame, salt: int) -> DataFrame:
     return one.select("x.block", "x.lead", "cls", part.alias("part"))
 
 
-def _cells(large: DataFrame, of: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of large blocks with several components (cls, cell), and the pairs of cells that can hold a link (x, y)."""
-    rows = large.select("block", "cls").join(of, "cls")
+def _cells(large: DataFrame, of: Components, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of large blocks with several components (cls, component, cell), and the pairs of cells that can hold a link (x, y)."""
+    rows = of.now(large.select("block", "cls").join(of.first, "cls"))
     mixed = rows.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("block")
     rows = c.staged(rows.join(mixed, "block"), "mixed-blocks")
     # Linked sets are in one band or in neighbours; a band is a little wider than the ratio, so rounding is no matter.
@@ -289,19 +293,49 @@ def _cells(large: DataFrame, of: DataFrame, sizes: DataFrame) -> tuple[DataFrame
     parts = one.groupBy(group).agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / WEIGHT)).alias("parts"))
     cell = F.xxhash64(*group, F.pmod(F.xxhash64("cls", F.lit(-1)), F.col("parts")))
-    members = c.staged(one.join(parts, group).select("cls", *group, cell.alias("cell")), "cells")
+    members = c.staged(one.join(parts, group).select("cls", "component", *group, cell.alias("cell")), "cells")
     seen = c.staged(rows.select("block", "cls").join(members, "cls").select("block", "cell", *group).distinct(), "cells-of-blocks")
     x = seen.select("block", *[F.col(k).alias(f"{k}_x") for k in ("cell", *group)])
     y = seen.select("block", *[F.col(k).alias(f"{k}_y") for k in ("cell", *group)])
     pairs = x.join(y, "block").where(
         (F.col("cell_x") <= F.col("cell_y")) & (F.abs(F.col("band_x") - F.col("band_y")) <= 1)
         & ~(F.col("own_x") & F.col("own_y") & (F.col("of_x") == F.col("of_y"))))
-    return members.select("cls", "cell"), c.staged(pairs.select(F.col("cell_x").alias("x"), F.col("cell_y").alias("y")).distinct(), "cell-pairs")
+    return members.select("cls", "component", "cell"), c.staged(pairs.select(F.col("cell_x").alias("x"), F.col("cell_y").alias("y")).distinct(), "cell-pairs")
 
 
-def _met(members: DataFrame, pairs: DataFrame, of: DataFrame, what: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` over each pair of cells: x, y, cell, cls, component and the columns of ``what``."""
-    rows = pairs.withColumn("cell", F.explode(F.array_distinct(F.array("x", "y")))).join(members, "cell").join(of, "cls").join(what, "cls")
+def _corners(held: DataFrame) -> DataFrame:
+    """Upper corner of the count vectors of each cell, and its range of set sizes. A cell holds about BLOCK classes."""
+
+    def run(batches):
+        for t in c.by_key(batches, ["cell"]):
+            sizes = t.column("n").to_numpy()
+            top = _matrix(t.column("counts").to_pylist()).max(axis=0)
+            yield pa.RecordBatch.from_pydict({"cell": t.column("cell")[:1].combine_chunks(), "top": pa.array([top.tobytes()], pa.binary()),
+                                              "low": pa.array([int(sizes.min())]), "high": pa.array([int(sizes.max())])})
+
+    return held.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "cell long, top binary, low long, high long")
+
+
+def _can_link(pairs: DataFrame, corners: DataFrame) -> DataFrame:
+    """Pairs of cells that the bound of the R-tree allows, tested on whole cells before any class is copied to a pair."""
+    end = lambda k: corners.select(F.col("cell").alias(k), *[F.col(n).alias(f"{n}_{k}") for n in ("top", "low", "high")])
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (_matrix(batch.column(f"top_{k}").to_pylist()) for k in "xy")
+            low_x, low_y, high_x, high_y = (batch.column(f"{n}_{k}").to_numpy() for n in ("low", "high") for k in "xy")
+            ok = (100 + PERCENT) * np.minimum(x, y).sum(axis=1, dtype=np.int64) >= PERCENT * (low_x + low_y)
+            ok &= (100 * high_x >= PERCENT * low_y) & (100 * high_y >= PERCENT * low_x)
+            yield batch.select(["x", "y"]).filter(pa.array(ok))
+
+    return pairs.join(end("x"), "x").join(end("y"), "y").mapInArrow(run, "x long, y long")
+
+
+def _met(held: DataFrame, pairs: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over each pair of cells: x, y and the columns of ``held`` (cell, cls, component and others)."""
+    rows = pairs.withColumn("cell", F.explode(F.array_distinct(F.array("x", "y")))).join(held, "cell")
     return rows.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(run, schema)
 
 
@@ -370,25 +404,57 @@ def _whole_sets(classes: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.select("cls", "text").mapInArrow(run, "cls long, shingles binary")
 
 
-def _linked_cells(members: DataFrame, dense: DataFrame, of: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``of`` after the links inside the ``dense`` pairs of cells."""
+def _linked_cells(members: DataFrame, dense: DataFrame, of: Components, classes: DataFrame, docs: DataFrame) -> None:
+    """Joins components by the links inside the ``dense`` pairs of cells."""
     held = dense.select(F.explode(F.array("x", "y")).alias("cell")).distinct()
-    needed = members.join(held, "cell", "left_semi")
-    now = needed.join(of, "cls").groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    needed = c.staged(of.now(members.join(held, "cell", "left_semi")), "dense-cells")
+    now = needed.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     end = lambda k: now.select(F.col("cell").alias(k), F.col("low").alias(f"low_{k}"), F.col("high").alias(f"high_{k}"))
     open_ = dense.join(end("x"), "x").join(end("y"), "y").where("least(low_x, low_y) < greatest(high_x, high_y)").select("x", "y")
-    sets = c.staged(_whole_sets(classes.join(needed, "cls", "left_semi"), docs), "shingle-sets")
-    links = c.staged(_met(members, open_, of, sets, _link_cells, "a long, b long"), "links")
-    c.drop_staged(sets)
-    return _merged(of, links)
+    sets = c.staged(_whole_sets(classes.join(needed, "cls", "left_semi"), docs).join(needed, "cls"), "shingle-sets")
+    of.merge(c.staged(_met(sets, open_, _link_cells, "a long, b long"), "links"))
+    c.drop_staged(sets, needed)
 
 
-def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
-    """``of`` (cls, component) after joining the components that ``links`` connect."""
-    end = lambda k: of.select(F.col("cls").alias(k), F.col("component").alias(f"of_{k}"))
-    across = links.join(end("a"), "a").join(end("b"), "b").select("of_a", "of_b")
-    merged = components(across, "of_a", "of_b").select(F.col("id").alias("component"), F.col("component").alias("_to"))
-    return of.join(merged, "component", "left").select("cls", F.coalesce("_to", "component").alias("component"))
+class Components:
+    """Component of every class as it was first found, and a small map of the components that have moved since.
+
+    The table of all classes is never written anew: a merge reads it for the ends of new links only and extends the map.
+    """
+
+    def __init__(self, first: DataFrame) -> None:
+        self.first = first  # cls, component
+        self.moved: DataFrame | None = None  # component, to
+
+    def now(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the present one in place of the first component."""
+        if self.moved is None:
+            return rows
+        names = rows.columns
+        return rows.join(self.moved, "component", "left").withColumn("component", F.coalesce("to", "component")).select(names)
+
+    def merge(self, links: DataFrame) -> None:
+        """Join the components that ``links`` (a, b) connect."""
+        ends = links.select(F.col("a").alias("cls")).unionAll(links.select(F.col("b").alias("cls"))).distinct()
+        ends = c.staged(self.now(self.first.join(ends, "cls", "left_semi")), "ends")
+        end = lambda k: ends.select(F.col("cls").alias(k), F.col("component").alias(f"of_{k}"))
+        across = links.join(end("a"), "a").join(end("b"), "b").select("of_a", "of_b")
+        merged = c.staged(components(across, "of_a", "of_b").select(F.col("id").alias("component"), F.col("component").alias("to")).where("component <> to"), "moves")
+        if self.moved is not None:
+            again = merged.select(F.col("component").alias("to"), F.col("to").alias("further"))
+            before = self.moved.join(again, "to", "left").select("component", F.coalesce("further", "to").alias("to"))
+            merged, old, more = c.staged(before.unionByName(merged), "moves"), self.moved, merged
+            c.drop_staged(old, more)
+        c.drop_staged(ends)
+        self.moved = merged
+
+
+def _apart(pairs: DataFrame, of: Components) -> DataFrame:
+    """Pairs whose ends are in different components; only their ends are looked up."""
+    ends = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
+    ends = c.staged(of.now(of.first.join(ends, "cls", "left_semi")), "ends")
+    end = lambda k: ends.select(F.col("cls").alias(k), F.col("component").alias(f"of_{k}"))
+    return pairs.join(end("a"), "a").join(end("b"), "b").where("of_a <> of_b").select("a", "b")
 
 
 def _best(found: DataFrame) -> DataFrame:
@@ -412,30 +478,35 @@ def _components_of_rows(docs: DataFrame) -> DataFrame:
     tried = c.staged(_best(found), "pairs")
     links = _verified(tried, classes, docs)
     known = components(links).withColumnRenamed("id", "cls")
-    of = c.staged(classes.select("cls").join(known, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component")), "of")
+    of = Components(c.staged(classes.select("cls").join(known, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component")), "of"))
+    placed = c.staged(point.join(of.first, "cls"), "placed")  # cls, n, counts, component: one join by class for all rounds
     for salt in range(1, ROUNDS + 1 if not large.isEmpty() else 1):
-        again = _dealt(large, salt).join(point, "cls").join(of, "cls")
+        again = of.now(_dealt(large, salt).join(placed, "cls"))
         pairs = c.staged(_best(_tree_pairs(again, True)).join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
-        of = c.staged(_merged(of, _verified(pairs, classes, docs)), "of")
+        of.merge(_verified(pairs, classes, docs))
         tried = tried.unionByName(pairs)
     # Last round: all pairs of different components not yet tried, among them those that the first search gave and _best left out.
-    end = lambda k: of.select(F.col("cls").alias(k), F.col("component").alias(f"of_{k}"))
-    left = found.where("b is not null").join(end("a"), "a").join(end("b"), "b").where("of_a <> of_b").select("a", "b")
+    apart = lambda pairs: _apart(pairs, of)
+    left = apart(found.where("b is not null").select("a", "b"))
     open_ = found.where("b is null").select(F.col("a").alias("block")).distinct()
-    some = c.staged(small.join(open_, "block", "left_semi"), "open-blocks").join(of, "cls")  # blocks hold BLOCK classes at most
+    some = c.staged(of.now(small.join(open_, "block", "left_semi").join(placed, "cls")), "open-blocks")  # blocks hold BLOCK classes at most
     mixed = some.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("block")
     rest = some.join(mixed, "block", "left_semi").withColumn("part", F.lit(0))
-    pairs = _tree_pairs(rest.join(point, "cls"), False).select("a", "b").unionByName(left)
+    pairs = _tree_pairs(rest, False).select("a", "b").unionByName(left)
     members, cells = _cells(large, of, classes.select("cls", "n"))
-    met = c.staged(_met(members, cells, of, point, _search_cells, "a long, b long, x long, y long"), "met-cells")
+    held = c.staged(members.join(point, "cls"), "cell-points")
+    cells = _can_link(cells, c.staged(_corners(held), "corners"))
+    met = c.staged(_met(held, cells, _search_cells, "a long, b long, x long, y long"), "met-cells")
     pairs = pairs.unionByName(met.where("a is not null").select("a", "b")).distinct()
     last = c.staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    final = of if last.isEmpty() else c.staged(_merged(of, _verified(last, classes, docs)), "of")
+    if not last.isEmpty():
+        of.merge(_verified(last, classes, docs))
     dense = met.where("a is null").select("x", "y")
     if not dense.isEmpty():
-        final = _linked_cells(members, dense, final, classes, docs)
+        _linked_cells(members, dense, of, classes, docs)
+    final = of.now(of.first)
     low = final.join(classes.select("cls", "rep"), "cls").groupBy("component").agg(F.min("rep").alias("low"))
     final = final.join(low, "component").select("cls", "low")
     ids = classes.select("cls", "rep").join(final, "cls", "left").select("cls", F.coalesce("low", "rep").alias("component_id"))
@@ -457,7 +528,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = _components_of_rows(docs)
     stay = rows.where((F.col("n") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias("_stay_id"), F.col("at").alias("_stay_at")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay_id")) & (F.xxhash64("text") == F.col("_stay_at")), "left_semi")
+    whole = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_at"), F.struct(*[F.col(f"`{k}`") for k in docs.columns]).alias("_row"))
+    kept = whole.join(stay, F.col("_id").eqNullSafe(F.col("_stay_id")) & (F.col("_at") == F.col("_stay_at")), "left_semi")
+    return kept.select("_row.*")
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
