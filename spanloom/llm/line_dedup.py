@@ -158,14 +158,18 @@ def kept_text(text: bytes, bitmap: bytes | None) -> bytes:
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with kept lines only, all other columns as they were."""
     names = docs.columns
+    rest = [n for n in names if n != "text"]
+    # The other columns go along as one, so that no name of theirs can clash.
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{n}`") for n in rest]).alias("_row"))
 
     def run(batches):
         for batch in c.chunks(batches):
             raw, maps = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_line_bitmap").to_pylist()
             text = pa.array([x if x is None or m is None else kept_text(x, m) for x, m in zip(raw, maps)], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in names], names=names)
+            kept = dict(zip(rest, batch.column("_row").flatten()[1:]))
+            yield pa.RecordBatch.from_arrays([text if n == "text" else kept[n] for n in names], names=names)
 
-    return with_bitmaps(docs).mapInArrow(run, docs.schema)
+    return with_bitmaps(packed).mapInArrow(run, docs.schema)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

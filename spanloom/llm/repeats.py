@@ -18,7 +18,12 @@ UTF-8 bytes; matches never cross documents; strings are judged on the input.
    the hashes of those strings, and hashes that occur twice cover theirs.
 
 Equal texts are one text with a count (all bytes go if there are two and they are long enough), so a hot text is sorted once, and equal
-suffixes of a run are exchanged once, so a hot passage costs each run one string. Null, empty and short texts keep all bytes. Null or
+suffixes of a run are exchanged once, so a hot passage costs each run one string.
+
+``dedup`` can count in words: every word becomes a code of ``CODE`` characters, the same sort runs over the codes, and a word goes if a string of
+LENGTH / CODE words over it also occurs anywhere else. White space stays.
+
+Null, empty and short texts keep all bytes. Null or
 repeated ids do no harm: a text is known by its hash. Other columns of the input are not read.
 """
 
@@ -29,7 +34,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common as c
 
@@ -41,7 +46,8 @@ KEEP = LENGTH + WINDOW  # bytes of a suffix that are sorted
 RUN_BYTES = 16 << 20
 PART_BYTES = 24 << 20
 SAMPLE = 20_000  # suffixes that the splitters are taken from
-SMALL = 24 << 20  # estimated bytes up to which a table is broadcast
+SMALL = 24 << 20  # bytes up to which a table is broadcast
+CODE = 8  # characters of a word's code: 48 bits of its hash
 
 _ANCHOR = "key long, fp long, pos int, lo int, hi int"
 
@@ -364,9 +370,10 @@ def _strings(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["string", "key", "at"])
 
 
-def _near(table: DataFrame, row_bytes: int) -> DataFrame:
-    """Broadcast hint if the counted rows stay within SMALL bytes; else Spark joins by shuffle."""
-    return F.broadcast(table) if table.count() * row_bytes <= SMALL else table
+def _near(table: DataFrame, size: Column) -> DataFrame:
+    """Broadcast hint if the summed ``size`` of the rows stays within SMALL bytes; else Spark joins by shuffle."""
+    held = table.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(table) if held <= SMALL else table
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -384,13 +391,12 @@ def covered(docs: DataFrame) -> DataFrame:
     places = left.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("pos", "fp", "lo", "hi"))).alias("places")).join(copies.select("key", "rep"), "key")
     places = c.staged(places, "places")
 
-    def with_text(table: DataFrame, row_bytes: int) -> DataFrame:
-        """One row of each text in ``table``."""
-        other = _near(table.withColumnRenamed("rep", "_rep"), row_bytes)
+    def with_text(table: DataFrame, listed: str) -> DataFrame:
+        """One row of each text in ``table``; ``listed`` is its array."""
+        other = _near(table.withColumnRenamed("rep", "_rep"), 64 + 40 * F.size(listed))
         return texts.join(other, "key").where(F.col("doc_id").eqNullSafe(F.col("_rep"))).drop("_rep")
 
-    each = 64 + 40 * count // max(1, places.count())
-    chosen = with_text(places, each)
+    chosen = with_text(places, "places")
     parts = max(1, -(-count * KEEP // PART_BYTES))
     runs = c.staged(_runs(chosen, _splitters(chosen, parts)), "runs")
     order = ["part", "run"]
@@ -405,7 +411,7 @@ def covered(docs: DataFrame) -> DataFrame:
     wanted = left.join(asks, "fp").select("key", "pos", F.greatest("a", "lo").alias("a"), F.least("b", "hi").alias("b")).where("a <= b")
     wanted = wanted.groupBy("key").agg(F.collect_set(F.struct("pos", "a", "b")).alias("asks")).join(copies.select("key", "rep"), "key")
     wanted = c.staged(wanted, "wanted")
-    strings = c.staged(with_text(wanted, 160).select("key", "text", "asks").mapInArrow(_strings, "string long, key long, at int"), "strings")
+    strings = c.staged(with_text(wanted, "asks").select("key", "text", "asks").mapInArrow(_strings, "string long, key long, at int"), "strings")
     twice = c.staged(strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string"), "twice")
     late = strings.join(twice, "string").select("key", F.col("at").cast("long").alias("a"), (F.col("at") + LENGTH).cast("long").alias("b"))
     whole = copies.where("copies > 1").select("key", F.lit(0).cast("long").alias("a"), F.col("size").cast("long").alias("b"))
@@ -436,7 +442,7 @@ def _splitters(chosen: DataFrame, parts: int) -> list[bytes]:
 def with_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_starts`` and ``_ends`` of the bytes that go (null: none)."""
     spans = covered(docs).select(F.col("key").alias("_key"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
-    return docs.join(_near(spans, 120), F.xxhash64("text") == F.col("_key"), "left").drop("_key")
+    return docs.join(_near(spans, 48 + 16 * F.size("_starts")), F.xxhash64("text") == F.col("_key"), "left").drop("_key")
 
 
 def _rest(text: bytes, starts, ends) -> bytes:
@@ -450,18 +456,65 @@ def _rest(text: bytes, starts, ends) -> bytes:
     return b"".join(out)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without the covered bytes; characters that a cut leaves in pieces go as well."""
+def _codes(texts: list[bytes]) -> list[str]:
+    """Each text as the codes of its words."""
+    t = c.tokens(texts)
+    six = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", np.uint8)
+    shifts = np.arange(0, 6 * CODE, 6, dtype=np.uint64)
+    letters = six[((t.hashes[:, None] >> shifts) & np.uint64(63)).astype(np.int64)]
+    return [letters[a:b].tobytes().decode() for a, b in zip(t.first[:-1], t.first[1:])]
+
+
+def covered_words(docs: DataFrame) -> DataFrame:
+    """(at, starts, ends) for each text (by hash ``at``) that loses words: runs of byte positions from a first to a last word."""
+    c.tuned(docs.sparkSession)
+
+    def code(batches):
+        for batch in c.chunks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_codes(c.as_bytes(batch.column(2))))], names=["doc_id", "at", "text"])
+
+    def places(batches):
+        for batch in c.chunks(batches):
+            t = c.tokens(c.as_bytes(batch.column(1)), hashed=False)
+            out = []
+            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                first, base = t.first[i], t.doc_start[i]
+                low, high = -(-np.array(a) // CODE), np.array(b) // CODE  # words whose whole code is covered
+                low, high = low[high > low], high[high > low]
+                out.append(((t.starts[first + low] - base).tolist(), (t.ends[first + high - 1] - base).tolist()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([o[k] for o in out], pa.list_(pa.int64())) for k in (0, 1))], names=["at", "starts", "ends"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("at"), "text")
+    coded = c.staged(texts.mapInArrow(code, "doc_id long, at long, text string"), "word-codes")
+    spans = covered(coded)
+    named = coded.select("at", F.xxhash64("text").alias("key")).distinct().join(_near(spans, 48 + 16 * F.size("starts")), "key").drop("key")
+    one = texts.join(_near(named.select(F.col("at").alias("_at"), "starts", "ends"), 48 + 16 * F.size("starts")), F.col("at") == F.col("_at"))
+    one = one.dropDuplicates(["at"]).select("at", "text", "starts", "ends")
+    out = c.staged(one.mapInArrow(places, "at long, starts array<long>, ends array<long>"), "covered-words")
+    c.drop_staged(coded)
+    return out
+
+
+def dedup(docs: DataFrame, words: bool = False) -> DataFrame:
+    """``docs`` without the covered bytes, or words; characters that a cut leaves in pieces go as well. All other columns stay as they were."""
     names = docs.columns
+    rest = [n for n in names if n != "text"]
+    spans = covered_words(docs).withColumnRenamed("at", "key") if words else covered(docs)
+    spans = spans.select(F.col("key").alias("_key"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
+    # The other columns go along as one, so that no name of theirs can clash.
+    packed = docs.select(F.xxhash64("text").alias("_at"), "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{n}`") for n in rest]).alias("_row"))
+    joined = packed.join(_near(spans, 48 + 16 * F.size("_starts")), F.col("_at") == F.col("_key"), "left").select("text", "_row", "_starts", "_ends")
 
     def run(batches):
         for batch in c.chunks(batches):
             raw = batch.column("text").cast(pa.binary()).to_pylist()
             starts, ends = batch.column("_starts").to_pylist(), batch.column("_ends").to_pylist()
             text = [x if x is None else _rest(x, a, b).decode("utf-8", "ignore") if a else x.decode() for x, a, b in zip(raw, starts, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
+            kept = dict(zip(rest, batch.column("_row").flatten()[1:]))
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if n == "text" else kept[n] for n in names], names=names)
 
-    return with_spans(docs).mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, docs.schema)
 
 
 def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
@@ -475,7 +528,9 @@ def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
             digest = [hashlib.sha256(_rest(x, a, b)).hexdigest() for x, a, b in zip(raw, starts, ends)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in raw], pa.int64()), pa.array(gone, pa.int64()),
-                 pa.array([len(a or ()) for a in starts], pa.int64()), pa.array(digest, pa.string())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                 pa.array([len(a or ()) for a in starts], pa.int64()), pa.array(digest, pa.string()),
+                 pa.array([len(x) - g for x, g in zip(raw, gone)], pa.int64()), pa.array([g == 0 for g in gone])],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "whole"])
 
-    return with_spans(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs).mapInArrow(
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes long, whole boolean")

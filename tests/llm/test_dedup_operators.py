@@ -1,6 +1,7 @@
 """Operators on pairs and groups against brute force, and the pipeline."""
 
 import hashlib
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -319,16 +320,49 @@ def test_pipeline_equals_its_parts_by_brute_force(spark, tmp_path, docs_of):
     single = {i: t for i, t in lines.items() if root[i] == i}
     # Repeats.
     ids = sorted(single)
-    raw = [single[i].encode() for i in ids]
+    raw = [single[i].split() for i in ids]
     seen = defaultdict(int)
-    for b in raw:
-        for p in range(len(b) - 399):
-            seen[b[p:p + 400]] += 1
+    for w in raw:
+        for p in range(len(w) - 49):
+            seen[tuple(w[p:p + 50])] += 1
     want = {}
-    for i, b in zip(ids, raw):
-        gone = np.zeros(len(b), bool)
-        for p in range(len(b) - 399):
-            if seen[b[p:p + 400]] > 1:
-                gone[p:p + 400] = True
-        want[i] = len(np.frombuffer(b, np.uint8)[~gone].tobytes().split())
+    for i, w in zip(ids, raw):
+        gone = {q for p in range(len(w) - 49) if seen[tuple(w[p:p + 50])] > 1 for q in range(p, p + 50)}
+        want[i] = len(w) - len(gone)
     assert got == want
+
+
+def brute_words(texts):
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
+    seen = defaultdict(set)
+    for i, w in enumerate(words):
+        for p in range(len(w) - 49):
+            seen[tuple(w[p:p + 50])].add((i, p))
+    return [[x for q, x in enumerate(w) if not any(len(seen[tuple(w[p:p + 50])]) > 1 for p in range(max(0, q - 49), min(q, len(w) - 50) + 1))] for w in words]
+
+
+def test_suffix_dedup_by_words(docs_of, odd_texts):
+    rng = np.random.default_rng(8)
+    own = lambda n: [f"o{rng.integers(10**9)}" for _ in range(n)]
+    shared = {n: [f"s{n}w{i}" if i % 3 else "a" for i in range(n)] for n in (49, 50, 51, 120)}
+    texts = [None, "", *odd_texts[5:9]]
+    for k in range(20):
+        parts = [own(int(rng.integers(0, 60))), shared[(49, 50, 51, 120)[k % 4]], own(int(rng.integers(0, 60)))]
+        texts.append((" ", "  ", "\n", " \t")[k % 4].join(x for p in parts for x in p))
+    got = {r["doc_id"]: r["text"] for r in repeats.dedup(docs_of(texts), words=True).collect()}
+    want = brute_words(texts)
+    assert [re.findall(rb"[^\x20\x09-\x0D]+", (got[i] or "").encode()) for i in range(len(texts))] == want
+    assert got[0] is None and got[1] == "" and sum(len(w) for w in want) < sum(len((t or "").split()) for t in texts)
+
+
+def test_names_that_clash_and_rows_without_id_survive(spark):
+    """Every dedup of the pipeline keeps columns of any name, and rows whose id is null."""
+    names = ["_key", "_starts", "_line_id", "_line_bitmap", "_stay_id", "_stay_at", "_row", "_at", "at", "key", "cls", "a.b", "_"]
+    line = "the same long line in every document"
+    texts = [" ".join(f"w{k}x{i}" for i in range(70)) + f"\n{line}" for k in range(4)] + [None, ""]
+    rows = [(None if k == 3 else k, t, *[f"{n}{k}" for n in names]) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for dedup in (line_dedup.dedup, ngram_join.dedup, repeats.dedup, lambda d: repeats.dedup(d, words=True)):
+        out = dedup(docs)
+        assert out.columns == docs.columns
+        assert sorted(tuple(r)[2:] for r in out.collect()) == sorted(r[2:] for r in rows)
