@@ -38,8 +38,8 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without bytes that repeat over 400 bytes or more; every document stays."""
-    return _measured(repeats.dedup(docs))
+    """Documents without words that repeat over 50 words or more; every document stays."""
+    return _measured(repeats.dedup(docs, words=True))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
