@@ -84,7 +84,9 @@ class PerfectHash:
 class Vocabulary:
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as f:
-            pairs = [line.split() for line in f if line.strip()]
+            held = f.read()
+        self.digest = hashlib.sha256(held).hexdigest()
+        pairs = [line.split() for line in held.splitlines() if line.strip()]
         self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.pairs = {(k[0], k[1]): r for k, r in self.ranks.items() if len(k) == 2}
         self.pattern = pattern
@@ -185,14 +187,15 @@ class Encoder:
         return [bytes(data[ends[a]:ends[b]]) for a, b in zip(starts, starts[1:])]
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[tuple[str, str], Encoder] = {}  # by pattern and digest of the vocabulary
 
 
 def _encoder(shared) -> Encoder:
     """One encoder for each worker process and vocabulary."""
-    if shared.value.pattern not in _ENCODERS:
-        _ENCODERS[shared.value.pattern] = Encoder(shared.value)
-    return _ENCODERS[shared.value.pattern]
+    key = (shared.value.pattern, shared.value.digest)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(shared.value)
+    return _ENCODERS[key]
 
 
 def vocabulary(spark, path: str, pattern: str):

@@ -5,15 +5,17 @@ boundaries so that padding every text to its bucket's boundary wastes least. Ins
 without gaps, and each run of ``budget // boundary`` texts (at least one) is a batch, so a batch padded to
 its boundary stays inside the token budget unless a single text is longer.
 
-The histogram has a bin for each length up to ``EXACT`` and ``PER_OCTAVE`` bins for each doubling above, so
-the driver gets at most some thousand counts at any input size; within a bin the longest length present
-is what counts as padded. Length is the number of words; null or empty texts have length 0 and get a
+The histogram has one count for each length that occurs, and the boundaries are optimal over it: costs of two neighbouring runs meet the quadrangle inequality, so
+each layer is the lower envelope of lines and takes linear time. D different lengths need D * D / 2 words, so the driver gets at most the square root
+of twice the words: some millions of counts for 100 TB. Length is the number of words; null or empty texts have length 0 and get a
 bucket like all others. Rows are numbered in order of (hash, id, text hash); repeated rows get slots of
 their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,8 +23,6 @@ from . import common as c
 
 BUCKETS = 16
 BUDGET = 32_768
-EXACT = 1024
-PER_OCTAVE = 128
 
 
 def word_count(text: Column) -> Column:
@@ -30,50 +30,57 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")), F.lit(0)).cast("long")
 
 
-def bin_of(length: Column) -> Column:
-    """Bin number: the length itself up to EXACT, then PER_OCTAVE bins for each doubling."""
-    octave = F.floor(F.log2(length.cast("double") / EXACT))
-    inside = F.floor((length / (F.lit(float(EXACT)) * F.pow(F.lit(2.0), octave)) - 1) * PER_OCTAVE)
-    return F.when(length < EXACT, length).otherwise(EXACT + octave * PER_OCTAVE + inside).cast("long")
-
-
-def boundaries(longest: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
-    """Upper bounds of at most ``buckets`` runs of bins with least sum of count * bound.
+def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
+    """Upper bounds of at most ``buckets`` runs of lengths with least sum of count * bound; ``lengths`` rise.
 
-    With the texts given, least padded volume is least padding. Bins are in order of length; a run's bound
-    is its last bin's longest length. Among equal costs the one with fewer buckets wins.
+    With the texts given, least padded volume is least padding. Among equal costs the one with fewer buckets wins. Whole numbers throughout.
     """
     n = len(counts)
     if n == 0:
         return []
-    ahead = np.concatenate(([0.0], np.cumsum(counts, dtype=float)))
-    best = np.full(n + 1, np.inf)
-    best[0] = 0.0
-    choice = []
-    answers = []
+    size = [int(x) for x in lengths]
+    ahead = [0]
+    for x in counts:
+        ahead.append(ahead[-1] + int(x))
+    best: list[int | None] = [0] + [None] * n
+    choice, answers = [], []
     for _ in range(min(buckets, n)):
-        now, back = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+        # now[j] = min over i < j of best[i] + (ahead[j] - ahead[i]) * size[j - 1]: lines in i, asked at rising sizes.
+        now: list[int | None] = [None] * (n + 1)
+        back, hull, at = array("q", bytes(8 * (n + 1))), [], 0
         for j in range(1, n + 1):
-            cost = best[:j] + (ahead[j] - ahead[:j]) * longest[j - 1]
-            back[j] = int(np.argmin(cost))
-            now[j] = cost[back[j]]
+            i = j - 1
+            if best[i] is not None:
+                while len(hull) - at >= 2:
+                    p, q = hull[-2], hull[-1]
+                    if (best[i] - best[p]) * (ahead[q] - ahead[p]) <= (best[q] - best[p]) * (ahead[i] - ahead[p]):
+                        hull.pop()
+                    else:
+                        break
+                hull.append(i)
+            if len(hull) == at:
+                continue
+            x = size[j - 1]
+            while at + 1 < len(hull) and best[hull[at + 1]] - ahead[hull[at + 1]] * x < best[hull[at]] - ahead[hull[at]] * x:
+                at += 1
+            back[j] = hull[at]
+            now[j] = best[hull[at]] + (ahead[j] - ahead[hull[at]]) * x
         choice.append(back)
         answers.append(now[n])
         best = now
-    k = int(np.argmin(answers))
+    k = min((a, k) for k, a in enumerate(answers) if a is not None)[1]
     cuts, at = [], n
     while k >= 0:
-        cuts.append(int(longest[at - 1]))
-        at = int(choice[k][at])
+        cuts.append(size[at - 1])
+        at = choice[k][at]
         k -= 1
     return cuts[::-1]
 
 
 def plan(lengths: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Boundaries for a frame with a ``length`` column."""
-    rows = lengths.groupBy(bin_of(F.col("length")).alias("bin")).agg(
-        F.max("length").alias("longest"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()  # bounded by bins
-    return boundaries(np.array([r["longest"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64), buckets)
+    rows = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n")).orderBy("length").toArrow()  # one row a length, see above
+    return boundaries(rows.column("length").to_numpy(), rows.column("n").to_numpy(), buckets)
 
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:

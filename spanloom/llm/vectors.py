@@ -11,7 +11,7 @@ a pair that meets in several tables counts in the first one only. Tasks return,
 the number of partners and the links of a spanning forest: rows grow with classes, not with pairs.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows whose label is null, link with
-nothing. Rows with equal ids are vectors of their own; a null id gets a null component and keeps no row from linking.
+nothing, and vectors of different lengths never link. Rows with equal ids are vectors of their own; a null id gets a null component and keeps no row from linking.
 """
 
 from __future__ import annotations
@@ -126,10 +126,10 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     c.tuned(vectors.sparkSession)
     rows, classes = _classes(vectors)
-    dims = [r[0] for r in classes.select(F.size("embedding")).distinct().limit(2).collect()]
-    if len(dims) > 1:
-        raise ValueError("vectors must have one number of components")
-    found = _links(classes, dims[0], least) if dims else None
+    found = None
+    for r in classes.select(F.size("embedding").alias("dim")).distinct().collect():  # lengths, not vectors
+        part = _links(classes.where(F.size("embedding") == r["dim"]), r["dim"], least)
+        found = part if found is None else found.unionAll(part)
     id_of = classes.select("cls", "label", "h1", "h2", "n", "rep")
     if found is None:
         id_of = id_of.withColumns({"partners": F.lit(0).cast("long"), "component": F.col("rep")})

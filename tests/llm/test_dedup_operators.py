@@ -75,6 +75,12 @@ def test_vectors_odd_rows(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_vectors_of_different_lengths_never_link(spark):
+    data = [(0, [1.0, 0.0], 0), (1, [1.0, 0.0, 0.0], 0), (2, [1.0, 0.001], 0), (3, [1.0, 0.001, 0.0], 0), (4, [0.0, 1.0], 0)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.createDataFrame(data, VECTORS)).collect()}
+    assert got == {0: (1, 0), 2: (1, 0), 1: (1, 1), 3: (1, 1), 4: (0, 4)}
+
+
 def test_vectors_count_once_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 7)
     rng = np.random.default_rng(3)

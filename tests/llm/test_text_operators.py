@@ -47,6 +47,18 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, docs_of, odd_texts):
     assert bpe.round_trip(docs_of([]), vocab).count() == 0
 
 
+def test_two_vocabularies_of_one_pattern_keep_apart(spark, tmp_path):
+    """Workers are reused, so the second vocabulary meets the encoder of the first."""
+    lines = [base64.b64encode(bytes([255 - b])) + b" %d" % b for b in range(256)] + [base64.b64encode(b"ab") + b" 256"]
+    (tmp_path / "small.tiktoken").write_bytes(b"\n".join(lines))
+    docs = spark.createDataFrame([(0, "abab hello")], "doc_id long, text string").coalesce(1)
+    first = bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    second = bpe.vocabulary(spark, str(tmp_path / "small.tiktoken"), public_tokenizers.PATTERN)
+    for _ in range(2):
+        large, small = (bpe.encode(docs, v).first()["ids"] for v in (first, second))
+        assert small == [256, 256] + [255 - b for b in b" hello"] and large != small and len(large) < len(small)
+
+
 def test_perfect_hash_is_minimal():
     keys = [f"k{i}".encode() for i in range(3000)]
     import pyarrow as pa
@@ -142,6 +154,22 @@ def test_packing_boundaries_are_optimal():
         assert len(got) <= k and cost(got) == best
 
 
+def test_packing_boundaries_of_long_texts_are_optimal():
+    """Lengths far above any bin width, against the plain dynamic programming."""
+    rng = np.random.default_rng(6)
+    for n, top in ((1, 10**7), (40, 5000), (120, 10**7)):
+        sizes = np.unique(np.concatenate([rng.integers(0, top, n), np.exp(rng.uniform(0, np.log(top), n)).astype(int)]))
+        counts = rng.integers(1, 50, len(sizes))
+        ahead = np.concatenate(([0], np.cumsum(counts)))
+        best = [0] + [math.inf] * len(sizes)
+        cost = lambda cuts: sum(int(c) * int(min(x for x in cuts if x >= s)) for s, c in zip(sizes, counts))
+        for k in range(1, 9):
+            best = [math.inf] + [min(best[i] + int(ahead[j] - ahead[i]) * int(sizes[j - 1]) for i in range(j)) for j in range(1, len(sizes) + 1)]
+            got = packing.boundaries(sizes, counts, k)
+            least = best[-1] if k == 1 else min(least, best[-1])
+            assert len(got) <= k and got == sorted(got) and got[-1] == sizes[-1] and cost(got) == least
+
+
 def test_packing_batches(spark, docs_of, odd_texts):
     got = packing.pack(docs_of(odd_texts + ["b c"] * 50, [None, 1, 1, *range(3, 62)]), buckets=4, budget=64).collect()
     assert len(got) == len(odd_texts) + 50
