@@ -226,3 +226,45 @@ def register(reg: Registry) -> None:
           sha256(concat('/w/', project_id)), CASE WHEN skill IS NULL THEN '"' ELSE concat('","telemetry.skill":"', skill, '"') END,
           ',"telemetry.telemetry_plane":"out_of_band"}}') AS bag FROM ev""",
     )
+
+    # The same policy on whole payloads, between receiving and mapping.
+    pair = lambda key, value: '{"key":"%s","value":{"stringValue":"%s"}}' % (key, value)
+    sent = '{"resourceX":[{"resource":{"attributes":[%s]},"scopeX":[{"X":[%s]}]},null]}' % (
+        ",".join([pair("service.name", "%1$s"), pair("process.cwd", "/w/%2$s"), pair("custom.key", "%1$s"), pair(f"{NS}.telemetry_plane", "in_band")]), "RECORD")
+    own = ",".join([pair("gen_ai.request.model", "Bearer %3$s"), pair("session.id", "%4$s"), pair("gen_ai.prompt", "words"), pair("my.lane", "x"),
+                    '{"key":"gen_ai.usage.input_tokens","value":{"intValue":"7"}}'])
+    time = '"timeUnixNano":"1754575200000000000"'
+    noted = ",".join([pair("event.name", "sk-abcdefgh12345"), pair("gen_ai.prompt", "words"), pair("other", "x")])
+    forms = {
+        "traces": ("resourceSpans", "scopeSpans", "spans", otlp.events_from_spans, "events[0].attributes",
+                   '{"traceId":"t","spanId":"%5$s","startTimeUnixNano":"1754575200000000000","attributes":[' + own + '],"events":[{"name":"e","attributes":[' + noted + "]}]}",
+                   '[{"key":"event.name","value":{"stringValue":"****"}}]'),
+        "logs": ("resourceLogs", "scopeLogs", "logRecords", otlp.events_from_logs, "body.stringValue",
+                 "{" + time + ',"attributes":[' + own + '],"body":{"stringValue":"my words %5$s"}}', "[CONTENT_REDACTED]"),
+        "metrics": ("resourceMetrics", "scopeMetrics", "metrics", otlp.events_from_metrics, "sum.dataPoints[0].asInt",
+                    '{"name":"m","sum":{"dataPoints":[{' + time + ',"asInt":"3","attributes":[' + own + "]}]}}", "3"),
+    }
+    for signal, (outer, middle, inner, decode, place, record, shown) in forms.items():
+        text = sent.replace("RECORD", record).replace("resourceX", outer).replace("scopeX", middle).replace('"X"', f'"{inner}"')
+
+        def through(e: DataFrame, signal=signal, text=text, decode=decode, path=f"$.{outer}[0].{middle}[0].{inner}[0].{place}") -> DataFrame:
+            c = F.col
+            made = e.select("arrival_seq", F.format_string(
+                text, c("client"), c("project_id"), c("model"), c("session_id"), c("arrival_seq").cast("string")).alias("payload"))
+            got = decode(collector.police(made, signal, ns=NS), "arrival_seq", "payload", ns=NS)
+            return got.where(F.size("reasons") == 0).select(
+                "arrival_seq", c("project.project_id").alias("project_id"), c("llm.model").alias("model"), c("execution.session_id").alias("session_id"),
+                c("usage.input_tokens").alias("input_tokens"), F.get_json_object("extensions", "$.unknown_attributes").alias("unknown"),
+                F.get_json_object("payload", path).alias("policed"),
+                F.get_json_object("payload", f"$.{path.split('.')[1].split('[')[0]}[0].resource.attributes[*].key").alias("resource_keys"))
+
+        keys = '["service.name","telemetry.project.id","telemetry.telemetry_plane","telemetry.normalization.version"]'
+        # The metric mapping takes usage and session from other keys; what it does not know is kept as unknown.
+        stamps = '"telemetry.normalization.version":"1.0","telemetry.telemetry_plane":"out_of_band"'
+        own_rest = "" if signal == "metrics" else "\"gen_ai.usage.input_tokens\":7,\"session.id\":\"' || session_id || '\","
+        reg.add(
+            f"otlp_policy_{signal}", ev(through),
+            f"""{W} SELECT arrival_seq, 'local_sha256:' || sha256('/w/' || project_id) AS project_id, '****' AS model,
+              {"NULL::VARCHAR" if signal == "metrics" else "session_id"} AS session_id, {"NULL" if signal == "metrics" else "7.0"}::DOUBLE AS input_tokens,
+              '{{{own_rest}{stamps}}}' AS unknown, '{shown}' AS policed, '{keys}' AS resource_keys FROM ev""",
+        )

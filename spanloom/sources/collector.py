@@ -1,11 +1,15 @@
-"""Attribute policy applied to text attribute maps before anything else sees them.
+"""Attribute policy, applied before anything else sees the attributes.
 
-Order: project id first (it needs paths), then the allow-list, stamps and delete lists.
+Order: project id first (it needs paths), then the allow-list, stamps and delete lists. The functions of one map take text maps;
+``police`` takes whole OTLP payloads and treats every level: resources, records, span events, log bodies and metric points.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions import variants as V
+from .otlp import ATTRIBUTES, SCHEMAS
 
 # ---- Fixed values. ``~x`` is the exporter's private attribute x.
 DIRECTORY_KEYS = (
@@ -117,3 +121,98 @@ def mask_span_event(bag: Column, ns: str = "telemetry") -> Column:
 def mask_body(body: Column) -> Column:
     """Every log body becomes one constant."""
     return F.lit(BODY_MASK)
+
+
+# ---- whole payloads
+
+_SPAN_EVENT = f"struct<timeUnixNano string,name string,attributes {ATTRIBUTES}>"
+_SCHEMAS = {
+    "traces": SCHEMAS["traces"].replace("status struct<code string>", f"status struct<code string>,events array<{_SPAN_EVENT}>"),
+    "logs": SCHEMAS["logs"].replace("observedTimeUnixNano string", "observedTimeUnixNano string,body struct<stringValue string>"),
+    "metrics": SCHEMAS["metrics"],
+}
+_LEVELS = {
+    "traces": ("resourceSpans", "scopeSpans", "spans"),
+    "logs": ("resourceLogs", "scopeLogs", "logRecords"),
+    "metrics": ("resourceMetrics", "scopeMetrics", "metrics"),
+}
+_POINTS = ("gauge", "sum", "histogram", "exponentialHistogram")
+
+
+def _with(attrs: Column, key: str, value: Column, when: Column) -> Column:
+    """``attrs`` with one more text attribute where ``when`` holds, of the same type as the others."""
+    blank = F.get(F.from_json(F.lit('[{"key":"","value":{}}]'), ATTRIBUTES), F.lit(0))
+    made = blank.withField("key", F.lit(key)).withField("value.stringValue", value)
+    return F.when(when, F.concat(attrs, F.array(made))).otherwise(attrs)
+
+
+def _without(attrs: Column, *keys: str) -> Column:
+    return F.filter(attrs, lambda a: ~a["key"].isin(*keys))
+
+
+def _last_text(attrs: Column, key: str) -> Column:
+    """Text value of the last attribute of a name."""
+    return F.try_element_at(F.filter(attrs, lambda a: a["key"] == key), F.lit(-1))["value"]["stringValue"]
+
+
+def _allowed(attrs: Column, ns: str) -> Column:
+    """Allowed keys outside the blocked patterns, secret values masked."""
+    blocked = "|".join(f"(?:{p})" for p in BLOCKED_KEYS)
+    kept = F.filter(attrs, lambda a: F.coalesce(a["key"].isin(*_full(ALLOWED, ns)) & ~a["key"].rlike(blocked), F.lit(False)))
+
+    def masked(a: Column) -> Column:
+        v = a["value"]["stringValue"]
+        for pattern in BLOCKED_VALUES:
+            v = F.regexp_replace(v, pattern, VALUE_MASK)
+        return F.when(a["value"]["stringValue"].isNotNull(), a.withField("value.stringValue", v)).otherwise(a)
+
+    return F.transform(kept, masked)
+
+
+def _resource(attrs: Column, ns: str) -> Column:
+    """A resource's attributes through the whole policy."""
+    project = f"{ns}.project.id"
+    place = F.coalesce(*[_last_text(attrs, k) for k in _full(DIRECTORY_KEYS, ns)])
+    missing = ~F.exists(attrs, lambda a: F.coalesce(a["key"] == project, F.lit(False))) & place.isNotNull()
+    out = _allowed(_with(attrs, project, F.concat(F.lit("local_sha256:"), F.sha2(place, 256)), missing), ns)
+    for key, value in zip(_full(tuple(STAMPS), ns), STAMPS.values()):
+        out = _with(_without(out, key), key, F.lit(value), F.lit(True))
+    return _without(out, *_full(DELETED, ns))
+
+
+def _record(attrs: Column, ns: str) -> Column:
+    return _without(_allowed(attrs, ns), *_full(DELETED_FROM_RECORDS, ns))
+
+
+def _span_event(attrs: Column, ns: str) -> Column:
+    names = _full(MASKED_ON_SPAN_EVENTS, ns)
+    return F.transform(_allowed(attrs, ns), lambda a: F.when(a["key"].isin(*names), a.withField("value.stringValue", F.lit(BODY_MASK))).otherwise(a))
+
+
+def police(payloads: DataFrame, signal: str, payload: str = "payload", ns: str = "telemetry") -> DataFrame:
+    """``payloads`` after the policy, as payload text again: the step between receiving OTLP and mapping it.
+
+    Malformed parts stay null, so the mapping rejects them and keeps their siblings; text that is no JSON stays as it was, to be rejected there.
+    """
+    outer, middle, inner = _LEVELS[signal]
+    doc = F.try_variant_get(V.parse(F.col(payload)), "$", f"struct<{_SCHEMAS[signal]}>")
+
+    def record(rec: Column) -> Column:
+        if signal == "metrics":
+            for kind in _POINTS:
+                points = F.transform(rec[kind]["dataPoints"], lambda p: p.withField("attributes", _record(p["attributes"], ns)))
+                rec = F.when(rec[kind].isNotNull(), rec.withField(f"`{kind}`.dataPoints", points)).otherwise(rec)
+            return rec
+        rec = rec.withField("attributes", _record(rec["attributes"], ns))
+        if signal == "traces":
+            return rec.withField("events", F.transform(rec["events"], lambda e: e.withField("attributes", _span_event(e["attributes"], ns))))
+        return rec.withField("body", F.struct(F.lit(BODY_MASK).alias("stringValue")))
+
+    def whole(r: Column) -> Column:
+        attrs = F.coalesce(r["resource"]["attributes"], F.from_json(F.lit("[]"), ATTRIBUTES))
+        scopes = F.transform(r[middle], lambda sc: sc.withField(inner, F.transform(sc[inner], record)))
+        return r.withField("resource", F.struct(_resource(attrs, ns).alias("attributes"))).withField(middle, scopes)
+
+    rows = payloads.withColumn("_doc", doc)
+    kept = F.to_json(F.struct(F.transform(F.col(f"_doc.{outer}"), whole).alias(outer)))
+    return rows.withColumn(payload, F.when(F.col("_doc").isNotNull(), kept).otherwise(F.col(payload))).drop("_doc")

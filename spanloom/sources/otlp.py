@@ -84,6 +84,7 @@ SCHEMAS = {
         f"name string,unit string,gauge {_DATA},`sum` {_DATA},histogram {_DATA},exponentialHistogram {_DATA}>>>>>>"
     ),
 }
+ATTRIBUTES = _ATTRS  # type of an encoded attribute list
 _MAP = "map<string,variant>"
 
 

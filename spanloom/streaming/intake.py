@@ -1,7 +1,7 @@
 """Continuous intake and event-time counts with Structured Streaming.
 
 No watermark is set on the intake: late events are accepted forever. Exactly-once comes from the
-stream checkpoint together with tables that replace a repeated batch's partitions.
+stream checkpoint together with tables that take a batch in one commit and replace it when it is repeated.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.privacy import Policy
 from ..operators.tables import Tables, ingest
 from ..session import checkpoint_root
+from ..sources.collector import police
 from ..sources.hooks import events_from_hooks
 from ..sources.jsonl import events_from_lines
 from ..sources.otlp import events_from_logs, events_from_metrics, events_from_spans
@@ -42,13 +43,16 @@ def read_text_stream(spark: SparkSession, folder: str, column: str = "line", max
 
 def start_intake(
     stream: DataFrame, tables: Tables, adapter: str = "jsonl", *, name: str = "intake",
-    policy: Policy = Policy(), checkpoint: str | None = None, trigger: dict | None = None,
+    policy: Policy = Policy(), checkpoint: str | None = None, trigger: dict | None = None, collector: bool = True,
 ) -> StreamingQuery:
-    """Run every micro-batch through the adapter and into the tables."""
+    """Run every micro-batch through the adapter and into the tables. OTLP payloads pass the collector's attribute policy first."""
     decode = ADAPTERS[adapter]
+    signal = adapter.removeprefix("otlp-") if collector and adapter.startswith("otlp-") else None
 
     def one(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("arrival_seq", F.monotonically_increasing_id())
+        if signal is not None:
+            rows = police(rows, signal)
         ingest(tables, decode(rows, "arrival_seq"), batch_id, policy)
 
     folder = checkpoint or f"{checkpoint_root(stream.sparkSession)}/{name}"
