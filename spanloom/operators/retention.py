@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.times import parse_instant
 from ..session import stage
 from .commits import Part, Snapshot
-from .tables import Tables, Written, located
+from .tables import Tables, Written, _projected, located
 
 # How long each signal is kept.
 CLASS_RETENTION = {"metrics": timedelta(days=30), "traces": timedelta(hours=720), "logs": timedelta(hours=336)}
@@ -163,6 +163,12 @@ def _take_out(tables: Tables, selection: DataFrame, cut: str | None, said: tuple
                 p.marks["of"] = str(len(kept) + len(made))
             new += kept
         written.append(Written(new, {}))
+        if name == "events":  # the stored minutes of these batches add up their events, so they are made anew
+            for batch in {p.batch for p in [*whole, *touched]}:
+                drop += [p for p in seen.of("event_rollup") if p.batch == batch]
+                if any(p.batch == batch for p in new):
+                    rows = tables.read("events", seen, [p for p in new if p.batch == batch])
+                    written.append(_projected(tables, "event_rollup", rows, batch))
     written.append(tables.write("maintenance_actions", _audit_row(selection, action, before, event_ids, "completed", kind), AUDIT))
     tables.commit(seen, written, drop, kind)
     return selection.count()

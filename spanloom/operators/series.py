@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.times import parse_instant, parse_step
 from .aggregates import SUCCESS
+from . import rollup as R
 from .families import FAMILIES, LABEL_NAMES, Family
 from .filters import first_rows, in_range
 
@@ -188,16 +189,25 @@ class Leaf:
         """Whether a sample is a running total (not a quotient of two)."""
         return self.family.aggregate in ("count", "sum", "flag")
 
+    @property
+    def stored(self) -> bool:
+        """Whether stored minutes (``rollup`` among the tables) answer this leaf; else it reads events."""
+        g = self.grid
+        return "rollup" in self.tables and R.answers(self.family, g.start_us, g.step_us, g.first_us, g.points)
+
     def rows(self) -> DataFrame:
         family, columns = self.family, self.family.label_columns
-        df = _source_rows(family, self.tables, self.grid)
+        if self.stored:
+            df = R.within(self.tables["rollup"], self.grid.first_us, self.grid.end_us)
+        else:
+            df = _source_rows(family, self.tables, self.grid)
         for matcher in self.matchers:
             if matcher.label == "__name__":
                 df = df.where(_test(matcher, F.lit(family.name), None))
             else:
                 name, default = columns[matcher.label]
                 df = df.where(_test(matcher, F.col(name), default))
-        if family.only is not None:
+        if family.only is not None and not (self.stored and family.only[1] == (True,)):
             name, values = family.only
             df = df.where(F.col(name).isin(*values))
         return df
@@ -209,6 +219,12 @@ class Leaf:
         keys = [
             F.coalesce(F.col(columns[l][0]), F.lit(columns[l][1])).alias(l) for l in labels
         ]
+        if self.stored:
+            g = self.grid
+            num, den, keep = R.measure(self.family)
+            df = self.rows().groupBy(*keys, R.sample(g.start_us, g.step_us, g.points).alias(_BUCKET)).agg(
+                num.cast("double").alias("num"), den.cast("double").alias("den"), keep.alias("keep"))
+            return df.where("keep").drop("keep")
         num, den, keep = self._measure()
         df = self.rows().groupBy(*keys, _bucket(self.grid).alias(_BUCKET)).agg(
             num.cast("double").alias("num"), den.cast("double").alias("den")

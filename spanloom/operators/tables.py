@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -19,18 +20,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.privacy import Policy
 from ..schema import STORE_TABLES
 from ..session import stage
-from . import correlate, id_index, intake, normalize, projections, redact
+from . import correlate, id_index, intake, normalize, projections, redact, rollup
 from .commits import CommitLog, Part, Snapshot
 
 _DATED = ("events", "measurement_facts", "outcome_events", "attribution_edges")
 ORDER = ("ingest_batch", "arrival_seq")
+WRITERS = 6  # tables that are written side by side
 
 # Projection -> (version, rows made from events). A higher version makes backfill rebuild older ones.
 PROJECTIONS: dict[str, tuple[int, Callable[[DataFrame], DataFrame]]] = {
     "measurement_facts": (1, projections.measurement_facts),
     "outcome_events": (1, projections.outcome_events),
     "attribution_edges": (1, projections.hierarchy_edges),
-    "correlation_keys": (1, lambda events: correlate.keyed(events, "arrival_seq")),  # stays last: intake joins its folders
+    "event_rollup": (1, rollup.rollup),
+    "correlation_keys": (1, lambda events: correlate.keyed(events, "arrival_seq")),
 }
 
 
@@ -194,18 +197,23 @@ def ingest(
     known = None if stored is None else stored.select("event_id", "payload_digest")
     sorted_out = stage(intake.classify(good, known), f"decided-{batch}")
     new = intake.inserted(sorted_out)
-    written = [
-        tables.write("events", new, batch),
-        tables.write("ingest_ledger", intake.ledger(sorted_out, "arrival_seq"), batch),
-        tables.write("event_conflicts", intake.conflicts(sorted_out, F.col("payload_json")), batch),
-        tables.write("rejects", bad, batch),
-        *[_projected(tables, name, new, batch) for name in PROJECTIONS],
+    keys = _projected(tables, "correlation_keys", new, batch)
+    # The writes do not depend on one another, so their jobs run side by side.
+    steps = [
+        lambda: ([tables.write("events", new, batch)], []),
+        lambda: ([tables.write("ingest_ledger", intake.ledger(sorted_out, "arrival_seq"), batch)], []),
+        lambda: ([tables.write("event_conflicts", intake.conflicts(sorted_out, F.col("payload_json")), batch)], []),
+        lambda: ([tables.write("rejects", bad, batch)], []),
+        *[lambda name=name: ([_projected(tables, name, new, batch)], []) for name in PROJECTIONS if name != "correlation_keys"],
+        lambda: _indexed(tables, seen, new, batch),
+        lambda: _linked(tables, seen, keys.parts, keys.schemas["correlation_keys"], batch),
     ]
-    index, unindexed = _indexed(tables, seen, new, batch)
-    keys = written[-1].parts
-    edges, unlinked = _linked(tables, seen, keys, written[-1].schemas["correlation_keys"], batch)
+    with ThreadPoolExecutor(WRITERS) as pool:
+        done = list(pool.map(lambda step: step(), steps))
+    written = [keys, *(w for made, _ in done for w in made)]
+    dropped = [p for _, old in done for p in old]
     replaced = [p for p in seen.parts if p.batch == batch and p.table not in ("id_index", "id_filters")]
-    tables.commit(seen, [*written, *index, *edges], [*replaced, *unindexed, *unlinked], "ingest")
+    tables.commit(seen, written, [*replaced, *dropped], "ingest")
     return intake.batch_counts(
         sorted_out.withColumn("ingest_batch", F.lit(batch)), bad.withColumn("ingest_batch", F.lit(batch)))
 

@@ -119,6 +119,7 @@ def flat_columns() -> list[tuple[str, str]]:
 
 STORE_TABLES = (
     "events", "ingest_ledger", "event_conflicts", "rejects", "measurement_facts",
-    "outcome_events", "attribution_edges", "correlation_keys", "correlation_edges", "maintenance_actions",
+    "outcome_events", "attribution_edges", "correlation_keys", "correlation_edges", "event_rollup",
+    "maintenance_actions",
     "id_index", "id_filters",
 )

