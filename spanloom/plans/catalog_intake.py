@@ -205,12 +205,22 @@ def register(reg: Registry) -> None:
           CASE WHEN decision = 'conflict' THEN 'event_id replay has a different payload' END AS reason
           FROM ({decisions_sql}) d JOIN attempts a ON a.arrival_seq = d.arrival_seq""",
     )
+    def broken(e: DataFrame) -> DataFrame:
+        """Rejects: lines that are no JSON, some in batches of their own."""
+        lost = e.where((F.col("status") == "unknown") & F.pmod("arrival_seq", F.lit(5)).isin(1, 4))
+        rows = jsonl.events_from_lines(lost.select("arrival_seq", F.lit("{bad").alias("line")), "arrival_seq")
+        return N.rejected(rows, "arrival_seq").withColumn("ingest_batch", F.pmod("arrival_seq", F.lit(5)))
+
     reg.add(
         "intake_batch_counts",
-        ev(lambda e: I.batch_counts(classified(e).withColumn("ingest_batch", F.pmod("arrival_seq", F.lit(4))))),
-        f"""{WA} SELECT arrival_seq % 4 AS ingest_batch, COUNT(*) FILTER (decision = 'inserted') AS inserted,
-          COUNT(*) FILTER (decision = 'duplicate') AS duplicate, COUNT(*) FILTER (decision = 'conflict') AS conflict,
-          CAST(0 AS BIGINT) AS rejected, 'accepted' AS verdict FROM ({decisions_sql}) GROUP BY 1""",
+        ev(lambda e: I.batch_counts(classified(e).withColumn("ingest_batch", F.pmod("arrival_seq", F.lit(4))), broken(e))),
+        f"""{WA}, kept AS (SELECT arrival_seq % 4 AS b, COUNT(*) FILTER (decision = 'inserted') AS inserted,
+            COUNT(*) FILTER (decision = 'duplicate') AS duplicate, COUNT(*) FILTER (decision = 'conflict') AS conflict FROM ({decisions_sql}) GROUP BY 1),
+          lost AS (SELECT arrival_seq % 5 AS b, COUNT(*) AS n FROM ev WHERE status = 'unknown' AND arrival_seq % 5 IN (1, 4) GROUP BY 1)
+          SELECT COALESCE(kept.b, lost.b) AS ingest_batch, COALESCE(inserted, 0) AS inserted, COALESCE(duplicate, 0) AS duplicate,
+          COALESCE(conflict, 0) AS conflict, COALESCE(n, 0) AS rejected,
+          CASE WHEN n IS NULL THEN 'accepted' WHEN kept.b IS NULL THEN 'rejected' ELSE 'accepted_with_rejections' END AS verdict
+          FROM kept FULL JOIN lost ON kept.b = lost.b""",
     )
     reg.add(
         "intake_against_stored",

@@ -45,9 +45,9 @@ SELECT
   CASE WHEN event_type = 'error' THEN k % 13 = 0 ELSE NULL END AS aborted,
   CASE WHEN event_type = 'error' THEN CAST(k % 3 AS DOUBLE) ELSE NULL END AS reassessment_count,
   CASE WHEN event_type = 'error' THEN CAST(k % 2 AS DOUBLE) ELSE NULL END AS rework_count,
-  CASE WHEN event_type = 'click' THEN CAST(1 + k % 3 AS DOUBLE) ELSE NULL END AS tool_call_count,
+  CASE WHEN event_type = 'click' THEN CAST(1 + k % 3 AS DOUBLE) WHEN event_type = 'purchase' AND k % 3 = 0 THEN CAST(1 + k % 2 AS DOUBLE) ELSE NULL END AS tool_call_count,
   CASE WHEN event_type = 'click' THEN CAST(k % 8 AS DOUBLE) ELSE NULL END AS files_inspected_count,
-  CASE WHEN event_type = 'click' THEN CAST(k % 4 AS DOUBLE) ELSE NULL END AS files_changed_count,
+  CASE WHEN event_type = 'click' THEN CAST(k % 4 AS DOUBLE) WHEN event_type = 'purchase' AND k % 3 = 0 THEN CAST(1 + k % 5 AS DOUBLE) ELSE NULL END AS files_changed_count,
   CASE WHEN event_type = 'click' THEN CAST(k % 6 AS DOUBLE) ELSE NULL END AS commands_executed_count,
   CASE WHEN event_type = 'click' THEN CAST(k % 2 AS DOUBLE) ELSE NULL END AS tests_invoked_count,
   concat('evt-', CAST(event_id AS {string})) AS event_id,
