@@ -117,6 +117,32 @@ SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, u.n_chil
        u.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
 FROM numbered n JOIN under u ON u.id = n.id LEFT JOIN numbered p ON n.d > 0 AND p.d = n.d - 1 AND p.prefix = n.prefix[1:n.d - 1]"""
 
+# Every 400-byte string by its hash; runs of starts that repeat are cut out.
+_OP10 = """
+WITH raw AS (SELECT doc_id, encode(coalesce("text", '')) AS b FROM documents),
+starts AS (
+  SELECT doc_id, p, hash(b[p:p + 399]) AS h
+  FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS p FROM raw WHERE octet_length(b) >= 400)
+),
+twice AS (SELECT h FROM starts GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400, 0) AS fresh FROM starts SEMI JOIN twice USING (h)),
+runs AS (SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hits),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 400 AS z FROM runs GROUP BY doc_id, run),
+gone AS (
+  SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, list(a ORDER BY a) AS firsts, list(z ORDER BY a) AS ends
+  FROM spans GROUP BY doc_id
+),
+pieces AS (
+  SELECT raw.doc_id, b, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed,
+         list_transform(range(0, coalesce(n_spans, 0) + 1), lambda i:
+           b[CASE WHEN i = 0 THEN 1 ELSE ends[i] END : CASE WHEN i = coalesce(n_spans, 0) THEN octet_length(b) ELSE firsts[i + 1] - 1 END]) AS kept
+  FROM raw LEFT JOIN gone ON gone.doc_id = raw.doc_id
+)
+SELECT doc_id, octet_length(b) AS n_bytes, n_removed, n_spans, sha256(list_reduce(kept, lambda x, y: x || y)) AS kept_sha256,
+       octet_length(b) - n_removed AS kept_bytes, n_removed = 0 AS whole
+FROM pieces"""
+
 CHECKS: dict[str, str] = {
-    "op1_embedding_near_dedup": _OP1, "op8_ngram_join": _OP8, "op9_line_dedup": _OP9, "op11_conversation_prefix_trie": _OP11,
+    "op1_embedding_near_dedup": _OP1, "op8_ngram_join": _OP8, "op9_line_dedup": _OP9, "op10_suffix_array_dedup": _OP10,
+    "op11_conversation_prefix_trie": _OP11,
 }
